@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import encode, leaks, splits
+from gneiss.llm import encode, leaks, overlap, splits
 from gneiss.sources.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "corpus_samples"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.sample_pairs(table(spark, d, "corpus_samples")).select("sample_a", "sample_b")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "corpus_samples"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -29,7 +37,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(leaks.leaks(table(spark, d, "documents"), items), items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p7_ids, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p7_ids, p8_found, p8_items)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (
