@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import encode, leaks, overlap, splits
+from gneiss.llm import encode, leaks, overlap, splits, syntax
 from gneiss.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "corpus_samples"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "parse_requests")).select("task_id").distinct()
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, d, "parse_requests"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -37,7 +45,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(leaks.leaks(table(spark, d, "documents"), items), items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p7_ids, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_rates, p7_ids, p8_found, p8_items)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (
