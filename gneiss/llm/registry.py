@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import encode, leaks, overlap, splits, syntax
+from gneiss.llm import encode, handmade, leaks, overlap, splits, syntax
 from gneiss.sources.tables import table
 
 
@@ -32,6 +32,14 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.broken_rates(table(spark, d, "parse_requests"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return handmade.not_handwritten(table(spark, d, "parse_requests")).select("task_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handmade.handwritten_rates(table(spark, d, "parse_requests"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -45,7 +53,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(leaks.leaks(table(spark, d, "documents"), items), items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_rates, p7_ids, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (
