@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import encode, handmade, leaks, overlap, splits, syntax
+from gneiss.llm import encode, handmade, leaks, overlap, splits, subjects, syntax
 from gneiss.sources.tables import table
 
 
@@ -53,7 +53,16 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(leaks.leaks(table(spark, d, "documents"), items), items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = subjects.document_areas(table(spark, d, "documents"), table(spark, d, "subject_examples"))
+    return found.select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_examples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (
