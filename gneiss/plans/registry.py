@@ -1,8 +1,8 @@
 """All queries of the core with their oracle SQL."""
 
-from gneiss.plans import data_jobs
+from gneiss.plans import data_jobs, graph_queries
 
-_MODULES = [data_jobs]
+_MODULES = [data_jobs, graph_queries]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
