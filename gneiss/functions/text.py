@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that are no keywords.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "why", "with"]
@@ -175,7 +176,7 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def porter(words: pd.Series) -> pd.Series:
     """Stems of a column of words."""
     known: dict[str, str] = {}
