@@ -114,7 +114,7 @@ def certify_threshold(rows: DataFrame, target: float) -> DataFrame:
     per = rows.groupBy("grp").agg(F.max("score").alias("top"), F.max(F.when(~F.col("positive"), F.col("score"))).alias("wrong"))
     marks = per.select(F.col("top").alias("score"), F.lit(1).alias("g"), F.lit(0).alias("bad")).unionByName(
         per.where("wrong IS NOT NULL").select(F.col("wrong").alias("score"), F.lit(0).alias("g"), F.lit(1).alias("bad"))
-    ).groupBy("score").agg(F.sum("g").alias("g"), F.sum("bad").alias("bad"))
+    ).unionByName(rows.select("score", F.lit(0).alias("g"), F.lit(0).alias("bad"))).groupBy("score").agg(F.sum("g").alias("g"), F.sum("bad").alias("bad"))
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     cum = marks.select(F.col("score").alias("threshold"), F.sum("g").over(w).alias("groups"), F.sum("bad").over(w).alias("bad"))
     sure = cum.withColumn("bound", exact_lower_bound(F.col("groups") - F.col("bad"), F.col("groups"))).where(F.col("bound") >= target)

@@ -97,9 +97,9 @@ def zero_progress(batches: DataFrame, most: int = 3) -> DataFrame:
 
 
 def triggered(changes: DataFrame, most: int = 512_000) -> DataFrame:
-    """(key, seq, total, trigger): running bytes of each key and where they first pass the limit."""
+    """(key, seq, total, trigger): running bytes of each key (null counts as 0) and where they first pass the limit."""
     w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    t = changes.withColumn("total", F.sum("bytes").over(w))
+    t = changes.withColumn("bytes", F.coalesce("bytes", F.lit(0))).withColumn("total", F.sum("bytes").over(w))
     return t.select("key", "seq", "total", ((F.col("total") >= most) & (F.col("total") - F.col("bytes") < most)).alias("trigger"))
 
 

@@ -83,11 +83,11 @@ def resolve_invalidate(spark, d):
     return rs.invalidate(r, deps, changed).select("site_id", "stale")
 
 
-@query("WITH " + _SITES + """, x AS (SELECT site_id, target, cls, rule, verification, CASE WHEN site_id%4<>0 AND ord%2=0 THEN CASE WHEN site_id%3=0 THEN target ELSE target+1 END END AS found FROM sites)
+@query("WITH " + _SITES + """, x AS (SELECT site_id, target, cls, rule, verification, max(CASE WHEN site_id%4<>0 AND ord%2=0 THEN CASE WHEN site_id%3=0 THEN target ELSE target+1 END END) OVER (PARTITION BY site_id) AS found FROM sites)
 SELECT site_id, CASE WHEN found IS NULL THEN verification WHEN cls='proven' AND found<>target THEN 'contradicted' ELSE 'verified' END AS verification, coalesce(found,target) AS selected, CASE WHEN found IS NOT NULL AND cls='proven' AND found<>target THEN rule END AS quarantine FROM x""")
 def resolve_apply_verification(spark, d):
     r = sites(spark, d)
-    res = r.where("ord % 2 = 0").select("site_id", (F.col("site_id") % 4 != 0).alias("is_unique"), F.when(F.col("site_id") % 3 == 0, F.col("target")).otherwise(F.col("target") + 1).alias("found"), F.lit(1).alias("seq"))
+    res = r.where("ord % 2 = 0").select("site_id", (F.col("site_id") % 4 != 0).alias("is_unique"), F.when(F.col("site_id") % 3 == 0, F.col("target")).otherwise(F.col("target") + 1).alias("found")).withColumn("seq", F.col("found"))
     return rs.apply_verification(r, res)
 
 
@@ -103,7 +103,7 @@ def resolve_trusted(spark, d):
     return r.select("site_id", rs.trusted(F.col("cls"), F.col("target"), F.col("stale"), F.col("rule").startswith("R"), F.col("verification")).alias("ok"), cls.alias("shown"), conf.alias("confidence"))
 
 
-@query("SELECT l_orderkey AS site_id, list_slice(list(l_partkey ORDER BY l_linenumber) FILTER (l_linenumber<>1),1,2) AS others FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber<>1)>0")
+@query("SELECT l_orderkey AS site_id, list_slice(list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_linenumber<>1),1,2) AS others FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber<>1)>0")
 def resolve_alternatives(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("site_id")).agg(
         F.collect_list(F.struct(F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("pk"), F.col("l_linenumber").alias("target"))).alias("c")
@@ -191,7 +191,7 @@ def maintain_zero_progress(spark, d):
     return mt.zero_progress(e)
 
 
-@query("""SELECT key, seq, total, total>=512000 AND total-bytes<512000 AS trigger FROM (SELECT repo_id AS key, task_id AS seq, n_bytes AS bytes, sum(n_bytes) OVER (PARTITION BY repo_id ORDER BY task_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM (SELECT DISTINCT ON (task_id) * FROM parse_requests))""")
+@query("""SELECT key, seq, total, total>=512000 AND total-bytes<512000 AS trigger FROM (SELECT repo_id AS key, task_id AS seq, coalesce(n_bytes,0) AS bytes, sum(coalesce(n_bytes,0)) OVER (PARTITION BY repo_id ORDER BY task_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM (SELECT DISTINCT ON (task_id) * FROM parse_requests))""")
 def maintain_trigger(spark, d):
     p = table(spark, d, "parse_requests").dropDuplicates(["task_id"]).select(F.col("repo_id").alias("key"), F.col("task_id").alias("seq"), F.col("n_bytes").alias("bytes"))
     return mt.triggered(p)
