@@ -113,11 +113,19 @@ def test_broken_files(spark):
 
 
 def test_handmade(spark):
-    lib = "\n\n".join(f"function lib{i}(a, b) {{\n  const c{i} = a.step{i}(b, {i});\n  return c{i}.join(a, b, 'k{i}');\n}}" for i in range(6))
-    mine = "\n\n".join(f"function own{i}(q) {{\n  if (q.ready{i}()) {{\n    q.fire{i}('x', {i});\n  }}\n  return q;\n}}" for i in range(6))
+    shapes = ["  const c{i} = a.step{i}(b, {i});", "  if (a.ready{i}(b)) {{\n    b.fire{i}();\n  }}", "  for (const k{i} of b.all()) {{\n    a.add(k{i}, 'z{i}');\n  }}", "  a += b[{i}];", "  return c{i}.join(a, b, 'k{i}');",
+              "  while (b.more{i}()) {{\n    b.next(a).then(c => c.d{i});\n  }}", "  log{i}(a);", "  const [x{i}, y{i}] = b.pair();", "  delete a.b{i}.c;", "  a.q = b ? {i} : a;"]
+    rng = random.Random(8)
+
+    def code(name):
+        body = lambda i: "\n".join(rng.choice(shapes).format(i=f"{name}{i}") for _ in range(5))
+        return "\n\n".join(f"function {name}{i}(a, b) {{\n{body(i)}\n}}" for i in range(5))
+
+    lib, mine = code("lib"), code("own")
+    patched = lib.replace("function lib2(a, b) {", "function lib2(a, b) {\n  patched(a);")
     rows = [
-        ("v1", "h/a/x", "src/util/l.js", lib, "js", 1), ("v2", "h/b/y", "lib/q/l.js", "// no notice\n" + lib.replace("'k3'", "'patched'"), "js", 1), ("m", "h/a/x", "src/own.js", mine, "js", 1), ("m2", "h/a-1/x", "src/own.js", mine, "js", 1), ("m3", "h/a/x", "src/own.js", mine + "\n", "js", 1),
-        ("g", "h/a/x", "src/g.go", "// Code generated by tool. DO NOT EDIT.\npackage a\n", "go", 1), ("s", "h/a/x", "src/s.js", mine.replace("'x'", "'// Code generated by tool. DO NOT EDIT.'"), "js", 1),
+        ("v1", "h/a/x", "src/util/l.js", lib, "js", 1), ("v2", "h/b/y", "lib/q/l.js", "// no notice\n" + patched, "js", 1), ("m", "h/a/x", "src/own.js", mine, "js", 1), ("m2", "h/a-1/x", "src/own.js", mine, "js", 1), ("m3", "h/a/x", "src/own.js", mine + "\n", "js", 1),
+        ("g", "h/a/x", "src/g.go", "// Code generated by tool. DO NOT EDIT.\npackage a\n", "go", 1), ("s", "h/a/x", "src/s.js", mine + "\n\nemit('// Code generated by tool. DO NOT EDIT.');\n", "js", 1),
         ("d", "h/a/x", "src/d.py", "X = [\n" + "  1, 2, 3,\n" * 30 + "]\n", "python", 1), ("n", "h/a/x", "node_modules/z/i.js", mine[:80], "js", 1), ("i", "h/a/x", "src/vendors/bills/i.js", mine, "js", 1),
         ("min", "h/a/x", "web/q.js", "!function(a,b){" + "c=a||{},c.d=!0;" * 60 + "}(x,y)", "js", 1), ("e", None, None, None, None, 1), ("e2", None, "a", " ", "js", 1),
     ]
