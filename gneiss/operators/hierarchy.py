@@ -166,7 +166,7 @@ def ancestors(links: DataFrame) -> DataFrame:
 
 
 def paths(links: DataFrame, separator: str = " > ") -> DataFrame:
-    """(node_key, path, root_key, depth, n_descendants); path null, 'cycle', -1 and null on or below a cycle."""
+    """(node_key, path, root_key, depth, n_descendants); path null, 'cycle', -1 and -1 on or below a cycle."""
     chains = Scratch(links.sparkSession, "paths").keep(ancestors(links))
     counts = (
         chains.where(F.col("depth") > 0)
@@ -180,7 +180,7 @@ def paths(links: DataFrame, separator: str = " > ") -> DataFrame:
         F.when(~cyclic, F.concat_ws(separator, F.concat("chain", F.array("node_key")))).alias("path"),
         F.when(cyclic, CYCLE).otherwise(F.coalesce(F.try_element_at("chain", F.lit(1)), "node_key")).alias("root_key"),
         "depth",
-        F.when(~cyclic, F.coalesce("below", F.lit(0))).alias("n_descendants"),
+        F.when(cyclic, -1).otherwise(F.coalesce("below", F.lit(0))).cast("long").alias("n_descendants"),
     )
 
 

@@ -89,7 +89,7 @@ ORACLE = {
     "p6_paths": _P6
     + """, d AS (SELECT a AS node_key, count(*) AS below FROM (SELECT node_key, unnest(chain) AS a FROM r) WHERE a <> node_key GROUP BY 1)
 SELECT n.k AS node_key, r.path, coalesce(r.root_key, 'cycle') AS root_key, coalesce(r.depth, -1)::INT AS depth,
-  CASE WHEN r.node_key IS NOT NULL THEN coalesce(d.below, 0) END AS n_descendants
+  (CASE WHEN r.node_key IS NOT NULL THEN coalesce(d.below, 0) ELSE -1 END)::BIGINT AS n_descendants
 FROM n LEFT JOIN r ON r.node_key = n.k LEFT JOIN d ON d.node_key = n.k""",
     "p6_descendants": _P6
     + """SELECT chain[i] AS node_key, node_key AS descendant_key, (depth + 1 - i)::INT AS distance
