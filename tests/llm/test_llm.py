@@ -70,6 +70,24 @@ def test_overlap_matches_brute_force_on_near_copies(spark):
     assert {(r[0], r[1]) for r in overlap.sample_pairs(spark.createDataFrame(rows, SAMPLE)).collect()} == want
 
 
+def test_overlap_finds_every_pair_of_a_hot_group(spark):
+    rng = random.Random(7)
+    base = [f"v{i} = obj{i % 7}.call{i}(arg{i}, {i})" for i in range(27)]
+
+    def variant(k):
+        f = list(base)
+        for at in rng.sample(range(11), 9):
+            f[at] = f[at].replace(".call", f".own{k}x")
+        return "\n".join(f)
+
+    rows = [sample(f"s{k:03}", split="test" if k % 4 == 0 else "train", code=variant(k)) for k in range(400)]
+    toks = {r[0]: overlap.tokens(r[6], "python") for r in rows}
+    side = {r[0]: r[4] for r in rows}
+    want = {tuple(sorted((a, b))) for a in toks for b in toks if side[a] == "test" != side[b] and overlap.near(toks[a], toks[b]) >= overlap.NEAR}
+    assert len(want) == 100 * 300
+    assert {(r[0], r[1]) for r in overlap.sample_pairs(spark.createDataFrame(rows, SAMPLE)).collect()} == want
+
+
 GOOD = {
     "javascript": "import a from 'x';\nconst f = async (x) => { return x?.y ?? [1, ...x]; }\nclass A extends B { #p = 1; static m(a, {b} = {}) { if (a) b(); else { this.p++ } } }\nfor (const k of f(1)) console.log(`a${k}`)\nexport default A;\n// } stray\n",
     "typescript": "import type { T } from './t';\nexport interface I<K> { a?: string; m(x: number): Map<string, K[]> }\nexport function f<T>(a: T, b?: readonly string[]): boolean { const x = a as unknown; return b!.length > 1; }\nenum E { A, B = 2 }\n",
