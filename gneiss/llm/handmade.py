@@ -3,8 +3,9 @@
 A file is a small Merkle tree: its declarations (runs of lines between blank
 lines or at the left margin, without comments and layout) are the leaves, their
 hashes make the file's hash, and files make the hashes of directories, bottom-up
-level by level. A directory or file whose hash, or leaves that make up SHARED of
-a file, occur in unrelated repositories mark vendored code; so copies that were
+level by level, for each revision and over all revisions. A directory of two
+files or more or a file of FILE words or more whose hash, or leaves that make up
+SHARED of a file, occur in unrelated repositories mark vendored code; so copies that were
 patched, stripped of their notice or cut short are found by what is left of
 them. Header rules (notices in the leading comments), rules on the path, and
 layout rules (line lengths, share of literals, repeated line shapes) find
@@ -33,6 +34,7 @@ from gneiss.storage import Scratch
 
 SHARED = 0.5
 LEAF = 12  # least words of a leaf that can mark a copy
+FILE = 24  # least words of a whole file that can
 MIN_REPOS = 2
 
 # Notices of tools in the leading comments.
@@ -132,8 +134,9 @@ def unrelated(repo_id: Column) -> Column:
 
 
 def _described(requests: DataFrame, scratch: Scratch) -> DataFrame:
+    revision = F.lower(F.trim("revision")) if "revision" in requests.columns else F.lit(None).cast("string")
     rows = requests.where("task_id IS NOT NULL").select(
-        "task_id", unrelated(F.col("repo_id")).alias("repo"), "file_path", language(F.col("code_language"), F.col("file_path")).alias("language"), "code"
+        "task_id", unrelated(F.col("repo_id")).alias("repo"), revision.alias("revision"), "file_path", language(F.col("code_language"), F.col("file_path")).alias("language"), "code"
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,13 +144,13 @@ def _described(requests: DataFrame, scratch: Scratch) -> DataFrame:
             got = [describe(p, c, g) for p, c, g in zip(b["file_path"], b["code"], b["language"])]
             yield pd.DataFrame(
                 {
-                    "task_id": b["task_id"], "repo": b["repo"], "file_path": b["file_path"], "reason": [g[0] for g in got], "whole": [g[1] for g in got],
+                    "task_id": b["task_id"], "repo": b["repo"], "revision": b["revision"], "file_path": b["file_path"], "reason": [g[0] for g in got], "whole": [g[1] for g in got],
                     "leaf": [[h for h, _ in g[2]] for g in got], "words": [[n for _, n in g[2]] for g in got],
                 }
             )
 
     return scratch.keep(
-        rows.mapInPandas(run, "task_id string, repo string, file_path string, reason string, whole string, leaf array<string>, words array<int>")
+        rows.mapInPandas(run, "task_id string, repo string, revision string, file_path string, reason string, whole string, leaf array<string>, words array<int>")
     )
 
 
@@ -157,33 +160,33 @@ def shared_hashes(hashes: DataFrame, by: str) -> DataFrame:
     return seen.where("a < b").select(by)
 
 
-def directory_hashes(files: DataFrame) -> DataFrame:
-    """(repo, dir, tree, n_files): Merkle hash of each directory over its entries (name and hash), bottom-up.
+def directory_hashes(files: DataFrame, by: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """(*by, dir, tree, n_files): Merkle hash of each directory over its entries (name and hash), bottom-up.
 
-    files: (repo, file_path, whole). Of several contents of one path the
+    files: (*by, file_path, whole); rows with a null in by are left out. Of several contents of one path the
     smallest hash stands for it. The hashes of the entries are added up, so a
     directory of very many entries is combined on the map side and never
     collected; each level is written, so the plan stays as small for deep trees.
     """
     scratch = Scratch(files.sparkSession, "trees")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"\\", "/"), "/+", "/"), r"^(\./|/)+", "")
-    leaf = files.where("repo IS NOT NULL AND whole <> ''").select("repo", plain.alias("path"), "whole").groupBy("repo", "path").agg(F.min("whole").alias("hash"))
-    leaf = scratch.keep(leaf.select("repo", F.split("path", "/").alias("parts"), "hash", F.lit(1).cast("long").alias("n")))
+    leaf = files.where("whole <> ''").dropna(subset=list(by)).select(*by, plain.alias("path"), "whole").groupBy(*by, "path").agg(F.min("whole").alias("hash"))
+    leaf = scratch.keep(leaf.select(*by, F.split("path", "/").alias("parts"), "hash", F.lit(1).cast("long").alias("n")))
     depth = leaf.agg(F.max(F.size("parts"))).first()[0] or 0
     name = F.element_at("parts", -1)
     below, levels = None, []
     for d in range(depth, 1, -1):
         here = leaf.where(F.size("parts") == d)
         here = here if below is None else here.unionByName(below)
-        made = here.groupBy("repo", F.slice("parts", 1, d - 1).alias("parts")).agg(
+        made = here.groupBy(*by, F.slice("parts", 1, d - 1).alias("parts")).agg(
             F.sum(F.xxhash64(name, "hash").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7919), name, "hash")).alias("b"), F.sum("n").alias("n")
         )
-        below = scratch.keep(made.select("repo", "parts", F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"))).alias("hash"), "n"))
+        below = scratch.keep(made.select(*by, "parts", F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"))).alias("hash"), "n"))
         levels.append(below)
     out = leaf.limit(0)
     for level in levels:
         out = out.unionByName(level)
-    return out.select("repo", F.array_join("parts", "/").alias("dir"), F.col("hash").alias("tree"), F.col("n").alias("n_files"))
+    return out.select(*by, F.array_join("parts", "/").alias("dir"), F.col("hash").alias("tree"), F.col("n").alias("n_files"))
 
 
 def not_handwritten(requests: DataFrame) -> DataFrame:
@@ -191,7 +194,7 @@ def not_handwritten(requests: DataFrame) -> DataFrame:
     scratch = Scratch(requests.sparkSession, "handmade")
     files = _described(requests, scratch)
     alone = files.where("reason IS NOT NULL").select("task_id", "reason")
-    open_files = files.where("reason IS NULL").select("task_id", "repo", "file_path", "whole", "leaf", "words")
+    open_files = files.where("reason IS NULL").select("task_id", "repo", "revision", "file_path", "whole", "words")
     flat = files.select("task_id", "repo", "reason", F.explode(F.arrays_zip("leaf", "words")).alias("e")).select(
         "task_id", "repo", "reason", F.col("e.leaf").alias("leaf"), F.col("e.words").alias("words")
     )
@@ -201,16 +204,21 @@ def not_handwritten(requests: DataFrame) -> DataFrame:
         .groupBy("task_id").agg(F.sum(F.when(F.col("hit") == 1, F.col("words")).otherwise(0)).alias("copied"), F.sum("words").alias("all"))
         .where(F.col("copied") >= SHARED * F.col("all")).select("task_id")
     )
-    trees = directory_hashes(files)
-    shared_trees = shared_hashes(trees.where("n_files >= 2"), "tree")
-    dirs = trees.where("n_files >= 2").join(shared_trees, "tree", "left_semi").select("repo", "dir").distinct()
+    size = F.aggregate("words", F.lit(0), lambda a, n: a + n)
+    shared_files = shared_hashes(files.where(size >= FILE), "whole")
+    by_file = open_files.join(shared_files, "whole", "left_semi").select("task_id")
+    # over all revisions, as those of a repository need not be complete, and for each, as they can differ
+    every = directory_hashes(files).withColumn("revision", F.lit(None).cast("string"))
+    trees = every.unionByName(directory_hashes(files, ("repo", "revision"))).where("n_files >= 2")
+    dirs = trees.join(shared_hashes(trees, "tree"), "tree", "left_semi").select("repo", "revision", "dir").distinct()
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim("file_path"), r"\\", "/"), "/+", "/"), r"^(\./|/)+", "")
     parents = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("parts") - 1)), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/")))
-    by_tree = (
-        open_files.select("task_id", "repo", F.split(plain, "/").alias("parts")).where(F.size("parts") > 1)
-        .select("task_id", "repo", parents.alias("dir")).join(dirs, ["repo", "dir"], "left_semi").select("task_id")
-    )
-    copied = by_leaf.unionByName(by_tree).select("task_id", F.lit("vendored").alias("reason"))
+    inside = open_files.select("task_id", "repo", "revision", F.split(plain, "/").alias("parts")).where(F.size("parts") > 1).select(
+        "task_id", "repo", "revision", parents.alias("dir")
+    )
+    marked = dirs.withColumnRenamed("revision", "of")
+    by_tree = inside.join(marked, ["repo", "dir"]).where("of IS NULL OR of = revision").select("task_id").distinct()
+    copied = by_leaf.unionByName(by_file).unionByName(by_tree).select("task_id", F.lit("vendored").alias("reason"))
     return alone.unionByName(copied).groupBy("task_id").agg(F.min("reason").alias("reason"))
 
 

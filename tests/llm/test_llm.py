@@ -159,6 +159,25 @@ def test_merkle_directories(spark):
     assert t["a", "lib/p"] == t["b", "q/p"] and t["a", "lib"][0] != t["b", "q"][0] and t["b", "q"][1] == 3
 
 
+def test_copies_of_whole_files_and_of_directories_of_one_revision(spark):
+    header = (
+        "#include <stddef.h>\n#define ZL_LIMIT 64\ntypedef struct zl zl_t;\nextern int zl_errors;\nzl_t *zl_open(const char *path);\nvoid zl_close(zl_t *z);\n"
+        "int zl_read(zl_t *z);\nstruct zl_state;\n#undef zl_debug\nenum zl_mode;\n#if ZL_LIMIT > 32\n#pragma once\n#endif\n"
+    )
+    tiny = lambda i: f"export * from './m{i}';\n"
+    whole = lambda i: handmade.describe("a.js", tiny(i), "javascript")[1]
+    # the other revisions' contents have the smaller hashes
+    other = lambda i, k: next(tiny(j) for j in range(k, k + 999) if whole(j) < whole(i))
+    files = [
+        ("h1", "h/a/x", "r1", "src/z/lib.h", header), ("o1", "h/a/x", "r1", "src/z/own.c", "int one(int a)\n{\n  return a + 1;\n}\n"),
+        ("h2", "h/b/y", "r2", "inc/lib.h", header), ("o2", "h/b/y", "r2", "inc/own.c", "int two(int a)\n{\n  return a * 2;\n}\n"), ("s1", "h/a/x", "r1", "a/i.js", tiny(0)), ("s2", "h/b/y", "r2", "b/i.js", tiny(0)),
+        *[(f"p{i}", "h/c/z", "r3", f"q/p/f{i}.js", tiny(i)) for i in (1, 2)], *[(f"q{i}", "h/c/z", "r4", f"q/p/f{i}.js", other(i, 1000 * i)) for i in (1, 2)],
+        *[(f"u{i}", "h/d/w", "r5", f"k/p/f{i}.js", tiny(i)) for i in (1, 2)], *[(f"w{i}", "h/d/w", "r6", f"k/p/f{i}.js", other(i, 5000 * i)) for i in (1, 2)],
+    ]
+    df = spark.createDataFrame([(t, r, v, p, c, None) for t, r, v, p, c in files], "task_id string, repo_id string, revision string, file_path string, code string, code_language string")
+    assert {r["task_id"]: r["reason"] for r in handmade.not_handwritten(df).collect()} == {t: "vendored" for t in ("h1", "h2", "p1", "p2", "u1", "u2")}
+
+
 def test_encoder_is_exact(spark):
     with open(encode.VOCABULARY, "rb") as f:
         enc = encode.Encoder(encode.read_ranks(f.read()))
