@@ -250,5 +250,16 @@ def test_subjects(spark):
     assert subjects.document_areas(d.limit(0), ex).count() == 0
 
 
+def test_an_area_of_exactly_a_quarter_counts(spark):
+    vocabulary = {a: [f"{a}{x}" for x in ("alpha", "bravo", "carol")] for a in ("sun", "sea", "law", "art")}
+    line = lambda a, i: f"we keep {vocabulary[a][i % 3]} and {vocabulary[a][(i + 1) % 3]}."
+    ex = spark.createDataFrame([(i, " ".join(line(a, k) for k in range(3)), a) for i in range(20) for a in vocabulary], "example_id long, text string, subject string")
+    docs = [(i, "s", "\n".join(line(a, i + k) for k in range(8))) for i, a in enumerate(list(vocabulary) * 5)]
+    docs += [(100, "s", "\n".join(line(a, 0) for a in vocabulary)), (101, "s", "\n".join([line("sun", i) for i in range(6)] + [line("sea", i) for i in range(2)]))]
+    docs += [(102, "s", "\n".join([line("sun", i) for i in range(7)] + [line("sea", 0)]))]
+    got = subjects.document_areas(spark.createDataFrame(docs, "doc_id long, source string, text string"), ex)
+    assert {(r[0], r[1]) for r in got.where("doc_id >= 100").collect()} == {(100, a) for a in vocabulary} | {(101, "sun"), (101, "sea"), (102, "sun")}
+
+
 def test_every_language_has_a_grammar():
     assert set(grammar.LANGUAGES.values()) == set(productions.RULES)
