@@ -198,6 +198,14 @@ def impact_closure(spark, d):
     return impact.closure(fx.links(spark, d), start)
 
 
+@query(W + """, c AS (SELECT node_key AS k FROM nodes), r AS (SELECT k AS start, k AS node, 0 AS hops FROM c UNION ALL SELECT src, dst, 1 FROM links
+UNION ALL SELECT DISTINCT l.src, m.dst, 2 FROM links l JOIN links m ON m.src=l.dst
+UNION ALL SELECT DISTINCT l.src, o.dst, 3 FROM links l JOIN links m ON m.src=l.dst JOIN links o ON o.src=m.dst)
+SELECT start, node, min(hops) AS hops FROM r GROUP BY 1,2""")
+def impact_closure_all(spark, d):
+    return impact.closure(fx.links(spark, d), fx.nodes(spark, d))
+
+
 @query(W + ", p AS (SELECT x.k, count(DISTINCT l.src) AS n FROM (SELECT DISTINCT concat('part/', l_partkey) AS k FROM lineitem WHERE l_returnflag='R') x LEFT JOIN links l ON l.dst=x.k GROUP BY 1), s AS (SELECT count(*) AS changed_files, coalesce(sum(n),0)::BIGINT AS impacted FROM p), v AS (SELECT *, " + _RISK.format(c="impacted", t="(SELECT count(*) FROM nodes)") + " AS r FROM s) SELECT changed_files, impacted, CASE WHEN r='LOW' AND changed_files > 10 THEN 'MEDIUM' ELSE r END AS risk FROM v")
 def impact_review(spark, d):
     changes = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("part/"), "l_partkey").alias("path"))

@@ -26,6 +26,13 @@ def test_degrees_differ_on_loops(spark):
     assert impact.risk_levels(n, li).count() == 3
 
 
+def test_closure_runs_to_the_end(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}", "calls") for i in range(20)]
+    li = spark.createDataFrame([*chain, ("n20", "n18", "calls"), ("n05", "n05", "calls")], "src string, dst string, link_type string")
+    got = {(r["start"], r["node"]): r["hops"] for r in impact.closure(li, spark.createDataFrame([("n00",), ("n18",)], "node_key string")).collect()}
+    assert got == {**{("n00", f"n{i:02}"): i for i in range(21)}, ("n18", "n18"): 0, ("n18", "n19"): 1, ("n18", "n20"): 2}
+
+
 def test_name_lookup_falls_back_to_contains(spark):
     n = spark.createDataFrame([("k1", "Runner", "test/x"), ("k2", "Runner", "src/x"), ("k3", "QueryRunner", "src/q"), ("k4", None, None)], "node_key string, name string, path string")
     li = spark.createDataFrame([("k1", "k3", "calls")], "src string, dst string, link_type string")
