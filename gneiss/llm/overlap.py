@@ -4,24 +4,21 @@ Fragments become token sequences without layout and comments; equal sequences
 form one class, so copies are compared once. A class is described by its n-grams
 of five words in which local names, numbers and strings are reduced to their
 kind, so that renaming a variable changes nothing, while called and member names
-stay. The evaluation grams are joined with the training grams on their hash, the
-hits of each pair of classes are counted, and each candidate pair is compared
-token by token: it counts if the longest common subsequence makes up NEAR of
-both.
-
-Candidates are the pairs whose grams have a Jaccard similarity of LEAST, taken
-over all grams or over the rare ones alone, in fewer than FREQUENT classes (not
-for a class in which those are too small a share). All grams have one global
-order, rare ones first, and of n grams only the first n - ceil(LEAST n) + HITS
-are indexed: any two classes that reach the similarity share HITS of them (or
-all they have), so no pair is lost, however many classes hold its grams. For two
-sizes the similarity needs a number of common grams, which bounds how far back
-in either order the first HITS of them can be; only such hits count. Frequent
-grams come last and are joined by bands of sizes for which they can be such a
-hit; those in more than HOT classes are spread over several tasks. The rare
-grams alone have a bound of their own, and so have classes with few of them,
-which also meet by any HITS of the grams that LEAST_FEW needs. At most MAX_FREQUENT grams can be
-frequent, as the limit rises with the number of grams; only they are broadcast.
+stay. The hashes of the evaluation grams are joined with those of the training
+grams, partitioned by gram, and the containment of each evaluation record in
+each training record that it meets is computed: the share of its grams that the
+other has. A pair counts as nearly the same if the containment is at least LEAST
+and the longest common subsequence of the tokens makes up NEAR of both; as
+contained, whatever the length of the training record, if it is at least WHOLE.
+Both depend on the two records alone, never on the rest of the corpus.
+
+The join finds every such pair. All grams have one global order, and of n grams
+of an evaluation record of which need = LEAST n must be common, the first HITS
+common ones lie among its first n - need + HITS, and likewise in the training
+record; only entries there are indexed, only hits there counted, and a pair with
+fewer is none. Any order is right; the one used puts frequent grams last, by
+counts in a table of SKETCH buckets of fixed size, the one thing that is
+broadcast. Grams whose bucket is overfull are spread over several tasks.
 
 TESTDATA.md states changes to about a sixth of the tokens for this problem,
 hence NEAR and LEAST below the usual 0.8 of five-word shingles.
@@ -34,7 +31,6 @@ sample count once; ties cannot occur; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -48,16 +44,13 @@ from gneiss.storage import Scratch
 
 EVALUATION = ["calibration", "test", "temporal"]
 WORDS = 5
-LEAST = 0.4
-LEAST_FEW = 0.6
+LEAST = 0.55
+WHOLE = 0.8
 HITS = 3
-FREQUENT = 64
-MAX_FREQUENT = 500_000
-HOT = 2_000
-BAND = 1.25  # ratio of the sizes in a band
-RARE_SHARE = 0.3  # least share, and RARE_LEAST the least number, of rare grams to compare a class over them alone
-RARE_LEAST = 6
 NEAR = 0.74
+RATIO = 2.0  # nearly the same records don't differ more in their numbers of grams
+SKETCH = 1 << 17  # buckets of the counts that order the grams; it changes the speed only
+HOT = 2_000  # grams of a bucket, beyond twice the mean, that one task joins
 MIN_TOKENS = 8
 
 _STRING = r'"""[\s\S]*?(?:"""|\Z)|\'\'\'[\s\S]*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?|`(?:\\.|[^`\\])*`?'
@@ -84,55 +77,99 @@ def tokens(code: str | None, language: str | None) -> list[str]:
     return [t for t in _C.findall(code) if not (t[0] == "/" and t[1:2] in ("/", "*") and len(t) > 1)]
 
 
-_HASHES: dict[str, int] = {}
+_NAME, _FIXED, _SKIP = 1, 2, 0
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
 
 
-def _hash(word: str) -> int:
-    if (h := _HASHES.get(word)) is None:
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        h = _HASHES[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-    return h
+class _Table:
+    """Word hash and kind of every token text, filled as texts are met."""
 
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.kinds: list[int] = []
+        self.name = self._hash("V")
 
-def grams(seq: list[str]) -> np.ndarray:
-    """Distinct hashed grams of the words, in the order of their hashes."""
-    words: list[int] = []
-    before = ""
-    for t, after in zip(seq, [*seq[1:], ""]):
+    @staticmethod
+    def _hash(word: str) -> int:
+        return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+    def add(self, t: str) -> int:
         c = t[0]
+        kind, word = _SKIP, t
         if c.isalpha() or c in "_$":
-            words.append(_hash(t if after == "(" or before == "." or t.lower() in KEYWORDS else "V"))
+            kind = _FIXED if t.lower() in KEYWORDS else _NAME
         elif c.isdigit():
-            words.append(_hash("N"))
+            kind, word = _FIXED, "N"
         elif c in "\"'`" and len(t) > 1:
-            words.append(_hash("S"))
-        before = t
-    w = np.array(words + [0] * (WORDS - len(words)), np.uint64)
-    n = len(w) - WORDS + 1
-    h = np.zeros(n, np.uint64)
+            kind, word = _FIXED, "S"
+        at = self.at[t] = len(self.kinds)
+        self.kinds.append(kind)
+        self.hashes.append(self._hash(word))
+        return at
+
+
+_MADE = _Table()
+
+
+def grams(seqs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, owner): the distinct hashed grams of the words of each sequence, and the index of their sequence; by owner, then gram."""
+    global _MADE
+    if len(_MADE.kinds) > 500_000:
+        _MADE = _Table()
+    table = _MADE
+    known, add = table.at, table.add
+    flat = [at if (at := known.get(t)) is not None else add(t) for s in seqs for t in s]
+    code = np.array(flat, np.int64)
+    owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    kind = np.array(table.kinds, np.int8)[code] if len(code) else np.zeros(0, np.int8)
+    word = np.array(table.hashes, np.uint64)[code] if len(code) else np.zeros(0, np.uint64)
+    same = owner[1:] == owner[:-1]
+    called = np.zeros(len(code), bool)
+    called[:-1] = same & (code[1:] == known.get("(", -1))
+    member = np.zeros(len(code), bool)
+    member[1:] = same & (code[:-1] == known.get(".", -1))
+    word[(kind == _NAME) & ~called & ~member] = table.name
+    word, owner = word[kind != _SKIP], owner[kind != _SKIP]
+    size = np.bincount(owner, minlength=len(seqs))
+    room = np.maximum(size, WORDS)  # a short sequence is one gram, filled up
+    begin = np.cumsum(room) - room
+    padded = np.zeros(int(room.sum()) + WORDS, np.uint64)
+    padded[np.arange(len(word)) + np.repeat(begin - (np.cumsum(size) - size), size)] = word
+    n = room - WORDS + 1
+    owner = np.repeat(np.arange(len(seqs)), n)
+    start = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(n) - n), n)
+    h = np.zeros(len(owner), np.uint64)
     for k in range(WORDS):
-        h += w[k : k + n] * _POWERS[k]
+        h += padded[start + k] * _POWERS[k]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.unique(h.view(np.int64))
+    g = h.view(np.int64)
+    order = np.lexsort((g, owner))
+    g, owner = g[order], owner[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+    return g[first], owner[first]
 
 
-def indexed(n: int) -> int:
-    """How many of n grams are indexed."""
-    return min(n, n - math.ceil(round(n * LEAST, 6)) + HITS)
+def entries(seqs: list[list[str]], counts: np.ndarray, need, hot: float) -> pd.DataFrame:
+    """(owner, gram, n, at, ways): the grams to index, those before n - need(n) + HITS in the global order; ways: tasks that join them."""
+    g, owner = grams(seqs)
+    load = counts[g & (len(counts) - 1)]
+    order = np.lexsort((g, load, owner))
+    g, load = g[order], load[order]  # owner is the first key, so it stays
+    n = np.bincount(owner, minlength=len(seqs))
+    at = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
+    n = n[owner]
+    keep = at < n - need(n) + HITS
+    ways = np.maximum(load - hot, 0).astype(np.int64) // HOT + 1
+    return pd.DataFrame({"owner": owner[keep], "gram": g[keep], "n": n[keep].astype(np.int32), "at": at[keep].astype(np.int32), "ways": ways[keep].astype(np.int32)})
 
 
-def entries(all_grams: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(rare, n, grams, ways): the grams to index, each with the number of tasks that join it, 0 for rare ones; rare is 0 if they are too few."""
-    at = np.searchsorted(frequent, all_grams)
-    at = np.minimum(at, max(len(frequent) - 1, 0))
-    times = np.where(frequent[at] == all_grams, counts[at], 0) if len(frequent) else np.zeros(len(all_grams), np.int64)
-    rare, n = int((times == 0).sum()), len(all_grams)
-    first = np.lexsort((all_grams, times))[: indexed(n)]
-    return rare if rare >= max(RARE_LEAST, RARE_SHARE * n) else 0, n, all_grams[first], np.where(times[first] > 0, times[first] // HOT + 1, 0)
+def share(n: np.ndarray, least: float) -> np.ndarray:
+    """How many of n grams make up the share."""
+    return np.ceil(np.round(n * least, 6)).astype(np.int64)
 
 
 def near(a: list[str], b: list[str]) -> float:
@@ -156,121 +193,140 @@ def side(split: Column) -> Column:
     return F.when(s == "train", 0).when(s.isin(EVALUATION), 1)
 
 
-def _classes(samples: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """members (cls, sample_id, side, split, family) and classes (cls, seq, in_eval, in_train), both written."""
+def _classes(samples: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """members (cls, sample_id, side, split, family) and classes (id, cls, seq, in_eval, in_train), both written, and the counts of grams by bucket."""
     rows = samples.where("sample_id IS NOT NULL AND fragment IS NOT NULL").select(
         "sample_id", side(F.col("split")).alias("side"), F.lower(F.trim("split")).alias("split"),
         family_name(F.col("repo_family")).alias("family"), "code_language", "fragment",
     ).where("side IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SKETCH, np.int64)
         for b in batches:
             seqs = [tokens(f, g) for f, g in zip(b["fragment"], b["code_language"])]
             b = b.drop(columns=["fragment", "code_language"])
-            b["seq"] = ["\x1f".join(s) if len(s) >= MIN_TOKENS else None for s in seqs]
-            b = b[b["seq"].notna()]
+            long_enough = [len(s) >= MIN_TOKENS for s in seqs]
+            b, seqs = b[long_enough], [s for s in seqs if len(s) >= MIN_TOKENS]
+            counts += np.bincount(grams(seqs)[0] & (SKETCH - 1), minlength=SKETCH)
+            b["seq"] = ["\x1f".join(s) for s in seqs]
             b["cls"] = [hashlib.md5(s.encode("utf-8", "surrogatepass")).digest() for s in b["seq"]]
-            yield b[["sample_id", "side", "split", "family", "cls", "seq"]]
+            b["counts"] = None
+            yield b[["sample_id", "side", "split", "family", "cls", "seq", "counts"]]
+        # one row a task with its counts
+        yield pd.DataFrame({"sample_id": [None], "side": [None], "split": [None], "family": [None], "cls": [None], "seq": [None], "counts": [counts.astype("<i8").tobytes()]})
+
+    cut = scratch.keep(rows.mapInPandas(run, "sample_id string, side int, split string, family string, cls binary, seq string, counts binary"))
 
-    cut = scratch.keep(rows.mapInPandas(run, "sample_id string, side int, split string, family string, cls binary, seq string"))
-    classes = cut.groupBy("cls").agg(
-        F.first("seq").alias("seq"), F.max("side").alias("in_eval"), (1 - F.min("side")).alias("in_train")
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for c in b["counts"]:
+                counts += np.frombuffer(c, "<i8")
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": at, "n": counts[at]})
+
+    sketch = cut.where("counts IS NOT NULL").select("counts").mapInPandas(unpack, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SKETCH, np.int64)
+    counts[sketch["bucket"].to_numpy(np.int64)] = sketch["n"].to_numpy(np.int64)
+    named = cut.where("cls IS NOT NULL")
+    members = scratch.keep(named.select("cls", "sample_id", "side", "split", "family"))
+    classes = named.groupBy("cls").agg(F.first("seq").alias("seq"), F.max("side").alias("in_eval"), (1 - F.min("side")).alias("in_train"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()))
+    scratch.free(cut)
+    return members, classes, counts
+
+
+def candidates(classes: DataFrame, counts: np.ndarray, least: float, ratio: float | None) -> DataFrame:
+    """(e, t): ids of evaluation and training classes with a containment of least or more, and some others.
+
+    ratio: with it, only pairs whose numbers of grams differ by no more than that.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
+    hot = 2.0 * float(counts.mean())
+
+    def index(need) -> object:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                e = entries([s.split("\x1f") for s in b["seq"]], shared.value, need, hot)
+                e["id"] = b["id"].to_numpy()[e.pop("owner")]
+                yield e[["id", "gram", "n", "at", "ways"]]
+
+        return run
+
+    schema = "id long, gram long, n int, at int, ways int"
+    of_eval = lambda n: share(n, least)
+    of_train = (lambda n: share(n / ratio, least)) if ratio else (lambda n: np.zeros_like(n))
+    a = classes.where("in_eval = 1").select("id", "seq").mapInPandas(index(of_eval), schema).select(
+        "gram", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.col("id").alias("e"), F.col("n").alias("en"), F.col("at").alias("ea")
     )
-    return cut.drop("seq"), scratch.keep(classes)
+    b = classes.where("in_train = 1").select("id", "seq").mapInPandas(index(of_train), schema).select(
+        "gram", F.pmod(F.xxhash64("id"), "ways").cast("int").alias("way"), F.col("id").alias("t"), F.col("n").alias("tn"), F.col("at").alias("ta")
+    )
+    need = F.ceil(F.round(F.col("en") * least, 6))
+    first = (F.col("ea") < F.col("en") - need + HITS) & (F.col("ta") < F.col("tn") - need + HITS) & (F.col("tn") >= need)
+    if ratio:
+        first = first & (F.col("tn") <= F.col("en") * ratio) & (F.col("en") <= F.col("tn") * ratio)
+    hits = a.join(b, ["gram", "way"]).where((F.col("e") != F.col("t")) & first)
+    return (
+        hits.groupBy("e", "t").agg(F.count(F.lit(1)).alias("hits"), F.min(need).alias("need"))
+        .where(F.col("hits") >= F.least(F.lit(HITS), F.col("need"))).select("e", "t")
+    )
 
 
-def class_pairs(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): pairs (eval_cls, train_cls, similarity) of classes that are the same or nearly so."""
-    scratch = Scratch(samples.sparkSession, "overlap")
-    members, classes = _classes(samples, scratch)
+def _compared(classes: DataFrame, pairs: DataFrame, least: float, near_least: float) -> DataFrame:
+    """(eval_cls, train_cls, containment, similarity) of the pairs that reach both; similarity is computed only for near_least above 0."""
+    a = classes.select(F.col("id").alias("e"), F.col("cls").alias("eval_cls"), F.col("seq").alias("a"))
+    b = classes.select(F.col("id").alias("t"), F.col("cls").alias("train_cls"), F.col("seq").alias("b"))
 
-    spark = samples.sparkSession
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            xs, ys = [s.split("\x1f") for s in p["a"]], [s.split("\x1f") for s in p["b"]]
+            (ga, oa), (gb, ob) = grams(xs), grams(ys)
+            n = np.bincount(oa, minlength=len(xs))
+            # grams of both in one order: a gram that stands twice in a row of one pair is common
+            g, o = np.concatenate([ga, gb]), np.concatenate([oa, ob])
+            order = np.lexsort((g, o))
+            g, o = g[order], o[order]
+            both = np.bincount(o[1:][(g[1:] == g[:-1]) & (o[1:] == o[:-1])], minlength=len(xs))
+            p["containment"] = both / np.maximum(n, 1)
+            good = both >= share(n, least)
+            p["similarity"] = [near(x, y) if k and near_least > 0 else 0.0 for x, y, k in zip(xs, ys, good)]
+            yield p.loc[good & (p["similarity"] >= near_least), ["eval_cls", "train_cls", "containment", "similarity"]]
+
+    return pairs.join(a, "e").join(b, "t").select("eval_cls", "train_cls", "a", "b").mapInPandas(
+        compare, "eval_cls binary, train_cls binary, containment double, similarity double"
+    )
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame(
-                {"cls": b["cls"], "in_eval": b["in_eval"], "in_train": b["in_train"], "grams": [grams(s.split("\x1f")) for s in b["seq"]]}
-            )
-
-    described = scratch.keep(classes.mapInPandas(describe, "cls binary, in_eval int, in_train int, grams array<long>"))
-    total = described.agg(F.sum(F.size("grams"))).first()[0] or 0
-    limit = max(FREQUENT, total // MAX_FREQUENT + 1)
-    often = (
-        described.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= limit).orderBy("gram").toPandas()
-    )
-    shared = spark.sparkContext.broadcast((often["gram"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, counts = shared.value
-        for b in batches:
-            out = [
-                (c, e, t, *entries(np.asarray(got, np.int64), frequent, counts))
-                for c, e, t, got in zip(b["cls"], b["in_eval"], b["in_train"], b["grams"])
-            ]
-            yield pd.DataFrame(out, columns=["cls", "in_eval", "in_train", "rare", "n", "grams", "ways"])
-
-    index = scratch.keep(
-        described.mapInPandas(place, "cls binary, in_eval int, in_train int, rare int, n int, grams array<long>, ways array<int>")
+def _same(classes: DataFrame) -> DataFrame:
+    one = F.lit(1.0)
+    return classes.where("in_eval = 1 AND in_train = 1").select(
+        F.col("cls").alias("eval_cls"), F.col("cls").alias("train_cls"), one.alias("containment"), one.alias("similarity")
     )
-    band = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
-    flat = index.select("cls", "in_eval", "in_train", "rare", "n", F.posexplode(F.arrays_zip("grams", "ways")).alias("at", "g")).select(
-        "cls", "in_eval", "in_train", "rare", "n", "at", F.col("g.grams").alias("gram"), F.col("g.ways").alias("ways"),
-        # sizes of the other class with which a hit here can be among the first HITS of enough
-        F.greatest(F.lit(1.0), F.col("n") * LEAST - 1e-3).alias("low"),
-        F.greatest(
-            F.least(F.col("n") / LEAST, (F.col("n") + (HITS - 1) - F.col("at")) * ((1 + LEAST) / LEAST) - F.col("n") + 1e-3),
-            F.when(F.col("at") < F.col("n") - F.ceil(F.round(F.col("n") * LEAST_FEW, 6)) + HITS, F.col("n") / LEAST_FEW + 1e-3),
-        ).alias("high"),
-    ).withColumn("other", F.when(F.col("ways") == 0, F.array(F.lit(0))).when(F.col("low") <= F.col("high"), F.sequence(band(F.col("low")), band(F.col("high")))))
-    flat = flat.select("cls", "in_eval", "in_train", "rare", "n", "at", "gram", "ways", F.when(F.col("ways") == 0, 0).otherwise(band(F.col("n"))).alias("own"), F.explode("other").alias("other"))
-    e = flat.where("in_eval = 1").select(
-        "gram", F.col("own").alias("eval_band"), F.col("other").alias("train_band"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("ways"), F.lit(1)) - 1)).alias("way"),
-        F.col("cls").alias("eval_cls"), F.col("n").alias("eval_n"), F.col("rare").alias("eval_rare"), F.col("at").alias("eval_at"),
-    )
-    t = flat.where("in_train = 1").select(
-        "gram", F.col("other").alias("eval_band"), F.col("own").alias("train_band"), F.pmod(F.xxhash64("cls"), F.greatest(F.col("ways"), F.lit(1))).cast("int").alias("way"),
-        F.col("cls").alias("train_cls"), F.col("n").alias("train_n"), F.col("rare").alias("train_rare"), F.col("at").alias("train_at"),
-    )
 
-    def first(side: str, n: str, need: Column) -> Column:
-        return F.col(f"{side}_at") < F.col(f"{side}_{n}") - need + HITS
 
-    need = F.ceil((F.col("eval_n") + F.col("train_n")) * (LEAST / (1 + LEAST)) - 1e-6)
-    by_all = first("eval", "n", need) & first("train", "n", need)
-    er, tr = F.col("eval_rare"), F.col("train_rare")
-    by_rare = (
-        (er > 0) & (tr > 0) & (er >= tr * LEAST) & (tr >= er * LEAST)
-        & first("eval", "rare", F.ceil(F.round(er * LEAST, 6))) & first("train", "rare", F.ceil(F.round(tr * LEAST, 6)))
-    )
-    en, tn = F.col("eval_n"), F.col("train_n")
-    by_few = (
-        ((er == 0) | (tr == 0)) & (en >= tn * LEAST_FEW) & (tn >= en * LEAST_FEW)
-        & first("eval", "n", F.ceil(F.round(en * LEAST_FEW, 6))) & first("train", "n", F.ceil(F.round(tn * LEAST_FEW, 6)))
-    )
-    hits = (
-        e.join(t, ["gram", "eval_band", "train_band", "way"]).where((F.col("eval_cls") != F.col("train_cls")) & (by_all | by_rare | by_few))
-        .groupBy("eval_cls", "train_cls")
-        .agg(F.sum(by_all.cast("int")).alias("hits"), F.sum(by_rare.cast("int")).alias("rare_hits"), F.sum(by_few.cast("int")).alias("few_hits"), F.min(need).alias("need"), F.ceil(F.min(F.least("eval_n", "train_n")) * LEAST_FEW).alias("few_need"))
-        .where((F.col("hits") >= F.least(F.lit(HITS), F.col("need"))) | (F.col("rare_hits") >= HITS) | (F.col("few_hits") >= F.least(F.lit(HITS), F.col("few_need"))))
-    )
-    seq = classes.select("cls", "seq")
-    both = (
-        hits.select("eval_cls", "train_cls")
-        .join(seq.withColumnRenamed("seq", "a"), F.col("eval_cls") == F.col("cls")).drop("cls")
-        .join(seq.withColumnRenamed("seq", "b"), F.col("train_cls") == F.col("cls")).drop("cls")
-    )
+def class_pairs(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): pairs (eval_cls, train_cls, containment, similarity) of classes that are the same or nearly so."""
+    scratch = Scratch(samples.sparkSession, "overlap")
+    members, classes, counts = _classes(samples, scratch)
+    close = _compared(classes, candidates(classes, counts, LEAST, RATIO), LEAST, NEAR)
+    return members, scratch.keep(close.unionByName(_same(classes)))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["similarity"] = [near(x.split("\x1f"), y.split("\x1f")) for x, y in zip(b["a"], b["b"])]
-            yield b.loc[b["similarity"] >= NEAR, ["eval_cls", "train_cls", "similarity"]]
 
-    close = both.mapInPandas(compare, "eval_cls binary, train_cls binary, similarity double")
-    same = classes.where("in_eval = 1 AND in_train = 1").select(
-        F.col("cls").alias("eval_cls"), F.col("cls").alias("train_cls"), F.lit(1.0).alias("similarity")
+def contained_records(samples: DataFrame) -> DataFrame:
+    """(sample_id, split, n_records, containment): evaluation samples of which WHOLE or more is contained in a training record of any length.
+
+    n_records counts the training samples that contain it; containment is the largest. One row a sample, copies are never paired.
+    """
+    scratch = Scratch(samples.sparkSession, "contained")
+    members, classes, counts = _classes(samples, scratch)
+    found = _compared(classes, candidates(classes, counts, WHOLE, None), WHOLE, 0.0).unionByName(_same(classes))
+    copies = members.where("side = 0").select("cls", "sample_id").distinct().groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    per = found.join(copies, F.col("train_cls") == F.col("cls")).groupBy("eval_cls").agg(F.sum("n").alias("n_records"), F.max("containment").alias("containment"))
+    m = members.where("side = 1").select("cls", "sample_id", "split").distinct()
+    return m.join(per, F.col("cls") == F.col("eval_cls")).groupBy("sample_id", "split").agg(
+        F.max("n_records").alias("n_records"), F.round(F.max("containment"), 6).alias("containment")
     )
-    return members, scratch.keep(close.unionByName(same))
 
 
 def sample_pairs(samples: DataFrame) -> DataFrame:
