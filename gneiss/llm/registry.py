@@ -24,6 +24,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "corpus_samples"))
 
 
+def p3_contained(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.contained_records(table(spark, d, "corpus_samples"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.broken_files(table(spark, d, "parse_requests")).select("task_id").distinct()
 
@@ -53,6 +57,10 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(leaks.leaks(table(spark, d, "documents"), items), items)
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = subjects.document_areas(table(spark, d, "documents"), table(spark, d, "subject_examples"))
     return found.select("doc_id", "subject").distinct()
@@ -62,7 +70,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p3_contained, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items, p8_cleaned, p9_found, p9_composition)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (
