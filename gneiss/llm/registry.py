@@ -16,6 +16,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "corpus_samples"))
 
 
+def p1_families(spark: SparkSession, d: str) -> DataFrame:
+    return splits.family_components(table(spark, d, "corpus_samples"))
+
+
+def p1_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return splits.invariants(table(spark, d, "corpus_samples"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.sample_pairs(table(spark, d, "corpus_samples")).select("sample_a", "sample_b")
 
@@ -70,7 +78,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_report, p3_contained, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items, p8_cleaned, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_families, p1_invariants, p3_found, p3_report, p3_contained, p4_found, p4_rates, p5_found, p5_reasons, p7_ids, p8_found, p8_items, p8_cleaned, p9_found, p9_composition)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (
@@ -90,4 +98,5 @@ reach AS (SELECT u, v FROM hop UNION SELECT r.u, h.v FROM reach r JOIN hop h ON
 
 ORACLE = {
     "p1_found": _FAMILY + "SELECT DISTINCT substr(u, 3) AS family_a, substr(v, 3) AS family_b FROM reach WHERE u < v",
+    "p1_invariants": "SELECT count(DISTINCT sample_id) AS n_samples, 0::BIGINT AS n_divided, true AS balanced FROM corpus_samples",
 }

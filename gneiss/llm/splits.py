@@ -4,16 +4,19 @@ Samples are related by family, repository and duplicate group, directly or
 through others. The relation is contracted to a graph of families and
 repositories (a duplicate group adds edges only if it joins several of them),
 whose components are found by core's star rounds. Whole components then go to
-splits: components of at least 1/HEAVY of all samples (so at most HEAVY of
-them) are placed first; the others are cut by hash into blocks of bounded size.
-In each block several annealing chains run in parallel: they start from the
-hashed assignment, move or swap whole components so that the sizes and the
-label mix of the splits come closer to the target, and the best chain is kept.
+splits, the largest first: those that hold at least 1/HEAVY of all samples (so
+at most HEAVY of them, whatever the corpus) share one block, the others are cut
+by hash into blocks of about BLOCK components, which fill what the first left.
+In each block CHAINS annealing chains run in parallel: they start from the
+hashed assignment and move or swap whole components, TRIES times a component, so
+that sizes and label mix come closer to the target, sizes first; the best chain
+is kept.
 
 Defined cases: missing values and placeholders relate nothing; a sample with
 none of the three keys is a component of its own; repeated rows of a sample
 count once and get one split; null sample_ids are left out; an empty table gives
-an empty result; other columns are not read.
+an empty result; labels beyond the LABELS most frequent count as one label;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +33,12 @@ from gneiss.storage import Scratch
 
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 HEAVY = 2000
-BLOCK = 20_000
+BLOCK = 4_000
 CHAINS = 4
-STEPS = 20_000
+TRIES = 8
+LEAST_TRIES = 2_000  # a block of few components is searched for at least so many steps
+LABELS = 64
+LABEL_WEIGHT = 0.1  # of the label mix in the cost, against 1 for the sizes
 
 # Spellings that stand for a missing key.
 PLACEHOLDERS = ["", "unknown", "n/a", "na", "none", "null", "nil", "-", "--", "?", "tbd", "todo", "undefined", "missing", "nan", "default"]
@@ -82,72 +88,93 @@ def components(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def family_pairs(samples: DataFrame) -> DataFrame:
-    """(family_a, family_b): pairs of different families that must share a split."""
-    _, found = components(samples)
-    fam = found.where(F.col("node").startswith("f:")).select("component", F.expr("substring(node, 3)").alias("family"))
+    """(family_a, family_b): pairs of different families that share a component, and so a split, of the assignment.
+
+    As many rows as pairs; family_components() has one row a family.
+    """
+    fam = family_components(samples).select("component", "split", "family")
     a = fam.withColumnRenamed("family", "family_a")
     b = fam.withColumnRenamed("family", "family_b")
-    return a.join(b, "component").where("family_a < family_b").select("family_a", "family_b")
+    return a.join(b, ["component", "split"]).where("family_a < family_b").select("family_a", "family_b")
+
+
+def family_components(samples: DataFrame) -> DataFrame:
+    """(family, component, split, n_samples) of every family by the assignment: one row a family, as it is never divided."""
+    assigned = assign_splits(samples)
+    named = keyed(samples).where("family IS NOT NULL").select("sample_id", "family").distinct()
+    return named.join(assigned, "sample_id").groupBy("family", "component", "split").agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+Labels = list[list[tuple[int, float]]]  # of each component, (label, samples)
 
 
-def _anneal(size: np.ndarray, label: np.ndarray, target: np.ndarray, mix: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[np.ndarray, float]:
+def _anneal(size: list[float], labels: Labels, target: list[float], mix: np.ndarray, start: list[int], seed: int, steps: int) -> tuple[list[int], float]:
     """One chain: the best assignment seen and its cost.
 
-    size: records of each component; label: records by label; target: records
-    wanted in each split; mix: records by split and label wanted. Cost: squared
-    deviations, each by its target.
+    target: samples wanted in each split; mix: samples by split and label
+    wanted. Cost: squared deviations, each by its target, labels by their weight
+    in all.
     """
     rng = np.random.default_rng(seed)
     n, k = len(size), len(target)
-    weight_t, weight_m = 1.0 / np.maximum(target, 1), 0.25 / np.maximum(mix, 1)
-    where = start.copy()
-    have, have_m = np.zeros(k), np.zeros_like(mix)
-    np.add.at(have, where, size)
-    np.add.at(have_m, where, label)
-    dev, dev_m = have - target, have_m - mix
-
-    def part(s: int) -> float:
-        return dev[s] ** 2 * weight_t[s] + (dev_m[s] ** 2 * weight_m[s]).sum()
-
-    cost = sum(part(s) for s in range(k))
-    best, best_cost = where.copy(), cost
+    by_size = [1.0 / max(t, 1.0) for t in target]
+    by_label = (LABEL_WEIGHT / max(mix.shape[1], 1) / np.maximum(mix, 1.0)).tolist()
+    dev, dev_m = [-t for t in target], (-mix).tolist()
+    where = list(start)
+    for i, s in enumerate(where):
+        dev[s] += size[i]
+        for x, c in labels[i]:
+            dev_m[s][x] += c
+
+    def move(i: int, s: int, t: int) -> float:
+        """Move component i from s to t; the change of the cost."""
+        c = size[i]
+        change = by_size[s] * c * (c - 2 * dev[s]) + by_size[t] * c * (c + 2 * dev[t])
+        dev[s] -= c
+        dev[t] += c
+        ms, mt, ws, wt = dev_m[s], dev_m[t], by_label[s], by_label[t]
+        for x, c in labels[i]:
+            change += ws[x] * c * (c - 2 * ms[x]) + wt[x] * c * (c + 2 * mt[x])
+            ms[x] -= c
+            mt[x] += c
+        where[i] = t
+        return change
+
+    cost = sum(d * d * w for d, w in zip(dev, by_size)) + sum(d * d * w for ds, ws in zip(dev_m, by_label) for d, w in zip(ds, ws))
+    best, best_cost = list(where), cost
     heat = max(cost / 10, 1e-9)
-    picks, other, to, luck = rng.integers(0, n, steps), rng.integers(0, n, steps), rng.integers(0, k, steps), rng.random(steps)
+    picks, other, to, luck = rng.integers(0, n, steps).tolist(), rng.integers(0, n, steps).tolist(), rng.integers(0, k, steps).tolist(), rng.random(steps).tolist()
+    since = []  # moves since the best, to go back to it without copying it each time
     for i in range(steps):
-        a, s = picks[i], where[picks[i]]
-        swap = i % 2 and where[other[i]] != s
-        b, t = other[i], where[other[i]] if swap else to[i]
+        a, b = picks[i], other[i]
+        s = where[a]
+        swap = i % 2 and where[b] != s
+        t = where[b] if swap else to[i]
         if s == t:
             continue
-        ds = -size[a] + (size[b] if swap else 0)
-        dl = -label[a] + (label[b] if swap else 0)
-        before = part(s) + part(t)
-        dev[s] += ds
-        dev[t] -= ds
-        dev_m[s] += dl
-        dev_m[t] -= dl
-        change = part(s) + part(t) - before
+        change = move(a, s, t) + (move(b, t, s) if swap else 0.0)
         if change <= 0 or luck[i] < np.exp(-change / max(heat * (1 - i / steps) ** 2, 1e-12)):
-            where[a] = t
-            if swap:
-                where[b] = s
             cost += change
+            since.append((a, t))
+            if swap:
+                since.append((b, s))
             if cost < best_cost - 1e-9:
-                best, best_cost = where.copy(), cost
+                for c, at in since:
+                    best[c] = at
+                best_cost, since = cost, []
         else:
-            dev[s] -= ds
-            dev[t] += ds
-            dev_m[s] -= dl
-            dev_m[t] += dl
+            if swap:
+                move(b, s, t)
+            move(a, t, s)
     return best, best_cost
 
 
-def _place(pdf: pd.DataFrame, names: list[str], target: np.ndarray, mix: np.ndarray, labels: list[str], seed: int) -> tuple[np.ndarray, float]:
-    size = pdf["n"].to_numpy(float)
-    label = np.array([[dict(m).get(x, 0) for x in labels] for m in pdf["labels"]], float).reshape(len(pdf), len(labels))
-    share = np.cumsum(target / target.sum())
-    start = np.minimum(np.searchsorted(share, pdf["h"].to_numpy(float), side="right"), len(names) - 1)
-    return _anneal(size, label, target, mix, start, seed, min(STEPS, 400 * len(pdf) + 200))
+def _place(pdf: pd.DataFrame, target: np.ndarray, mix: np.ndarray, labels: list[str], seed: int) -> tuple[list[int], float]:
+    at = {x: i for i, x in enumerate(labels)}
+    found = [[(at[x], float(c)) for x, c in dict(m).items()] for m in pdf["labels"]]
+    bounds = np.cumsum(target / target.sum())
+    start = np.minimum(np.searchsorted(bounds, pdf["h"].to_numpy(float), side="right"), len(target) - 1)
+    return _anneal(pdf["n"].astype(float).tolist(), found, target.tolist(), mix, start.tolist(), seed, max(LEAST_TRIES, TRIES * len(pdf)))
 
 
 def assign_splits(
@@ -169,7 +196,12 @@ def assign_splits(
     members = scratch.keep(
         own.join(found, F.col("anchor") == F.col("node"), "left").select("sample_id", F.coalesce("component", "anchor").alias("component"), "label")
     )
-    per = members.groupBy("component", "label").agg(F.count(F.lit(1)).alias("c"))
+    common = members.groupBy("label").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "label").limit(LABELS).select("label")
+    rest = F.lit("\0rest")
+    per = (
+        members.join(F.broadcast(common.withColumn("known", F.lit(True))), "label", "left")
+        .groupBy("component", F.when(F.col("known"), F.col("label")).otherwise(rest).alias("label")).agg(F.count(F.lit(1)).alias("c"))
+    )
     comps = scratch.keep(
         per.groupBy("component").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("labels"))
         .withColumn("h", F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
@@ -177,13 +209,12 @@ def assign_splits(
     total, count = comps.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not count:
         return members.select("sample_id", "component", F.lit(None).cast("string").alias("split"))
-    # labels: a column of few values; more than 64 are balanced together as one
-    mixed = members.groupBy("label").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "label").limit(64).collect()
+    mixed = comps.select(F.explode("labels").alias("label", "c")).groupBy("label").agg(F.sum("c").alias("c")).orderBy("label").collect()  # at most LABELS + 1
     labels, by_label = [r[0] for r in mixed], np.array([r[1] for r in mixed], float)
 
     big = F.col("n") * HEAVY >= total
-    heavy = comps.where(big).orderBy("component").toPandas()  # at most HEAVY rows, each 1/HEAVY of all samples or more
-    heavy_where = np.zeros(0, int)
+    heavy = comps.where(big).orderBy("component").toPandas()  # at most HEAVY rows, as each has 1/HEAVY of all samples or more
+    heavy_where: list[int] = []
     used, used_mix = np.zeros(len(names)), np.zeros((len(names), len(labels)))
     if len(heavy):
         rows = spark.createDataFrame([(i,) for i in range(CHAINS)], "chain int").repartition(CHAINS, "chain")
@@ -192,12 +223,11 @@ def assign_splits(
         def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for c in b["chain"]:
-                    # light components fill what heavy ones leave, so only an excess over the full target costs in the end
-                    got, cost = _place(heavy, names, share * total * part, np.outer(share, by_label) * part, labels, seed + int(c))
-                    yield pd.DataFrame({"chain": [c], "cost": [cost], "where": [got.tolist()]})
+                    got, cost = _place(heavy, share * total * part, np.outer(share, by_label) * part, labels, seed + int(c))
+                    yield pd.DataFrame({"chain": [c], "cost": [cost], "where": [got]})
 
         runs = rows.mapInPandas(chain, "chain int, cost double, where array<int>")
-        heavy_where = np.array(runs.orderBy("cost", "chain").first()["where"], int)
+        heavy_where = list(runs.orderBy("cost", "chain").first()["where"])
         np.add.at(used, heavy_where, heavy["n"].to_numpy(float))
         np.add.at(used_mix, heavy_where, np.array([[dict(m).get(x, 0) for x in labels] for m in heavy["labels"]], float).reshape(len(heavy), -1))
     left = np.maximum(share * total - used, 1e-6)
@@ -208,7 +238,7 @@ def assign_splits(
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("component", ignore_index=True)
         part = float(pdf["n"].sum()) / light_total
-        got, cost = _place(pdf, names, left / left.sum() * light_total * part, left_mix * part, labels, seed + int(pdf["chain"].iloc[0]))
+        got, cost = _place(pdf, left / left.sum() * light_total * part, left_mix * part, labels, seed + int(pdf["chain"].iloc[0]))
         return pd.DataFrame({"block": pdf["block"], "chain": pdf["chain"], "cost": cost, "component": pdf["component"], "at": got})
 
     light = comps.where(~big).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(blocks)).cast("int"))
@@ -226,6 +256,22 @@ def assign_splits(
     return members.join(placed, "component").select("sample_id", "component", split.alias("split"))
 
 
+def invariants(samples: DataFrame) -> DataFrame:
+    """(n_samples, n_divided, balanced) of the assignment: samples, families or repositories in more than one split, and whether each
+    split misses its share by no more than a hundredth of all samples or the largest component."""
+    assigned = Scratch(samples.sparkSession, "invariants").keep(assign_splits(samples))
+    named = keyed(samples).select("sample_id", F.explode(F.array(F.concat(F.lit("f:"), "family"), F.concat(F.lit("r:"), "repo"), F.concat(F.lit("d:"), "dup"))).alias("key")).dropna()
+    divided = named.join(assigned, "sample_id").groupBy("key").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a < b")
+    wanted = samples.sparkSession.createDataFrame(list(PROPORTIONS.items()), "split string, share double")
+    total = assigned.agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("sample_id").alias("n_distinct"))
+    largest = assigned.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"))
+    sizes = wanted.join(assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split", "left").crossJoin(total).crossJoin(largest)
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("n_samples"))
+    fits = sizes.agg(F.bool_and(off <= F.greatest(F.col("n_samples") / 100, F.col("largest"))).alias("balanced"))
+    bad = divided.agg(F.count(F.lit(1)).alias("n_divided"))
+    return total.where("n_samples = n_distinct").crossJoin(bad).crossJoin(fits).select("n_samples", "n_divided", "balanced")
+
+
 def split_sizes(assigned: DataFrame) -> DataFrame:
     """(split, n_samples, n_components) of an assignment."""
     return assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("component").alias("n_components"))
