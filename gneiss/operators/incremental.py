@@ -1,11 +1,14 @@
 """What a run still has to process: deltas between immutable manifests.
 
-A manifest lists the entries of one version of a table by content (files of a
-versioned table, or content hashes of records). The delta of two manifests is
-what the newer has and the older has not, plus entries of the older that a
-deletion vector takes out of it again. A consumer saves the version that it has
-processed in the commit of its output, so a run that failed left nothing behind
-and the next one computes the same delta again.
+The records are kept as a versioned table (sources/versioned.py). What the last
+successful run covered, by the state it left, is one version; the records since
+then, changed or late ones included, are the files that the next version adds;
+covered records that the state hands back (its remaining queue) are masked by a
+deletion vector. A run takes the delta from the two manifests, reading only
+added and removed files and new vectors, and publishes its output together with
+the version that it has processed in one commit. So a run that fails leaves
+nothing behind, and the next one computes the same delta again; one that finds
+nothing new does nothing.
 
 Defined cases: null keys belong to no delta; repeated entries count once; a
 scope without a processed manifest yields all its entries; empty tables give an
@@ -16,20 +19,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def manifest_delta(
-    current: DataFrame, processed: DataFrame, on: list[str], masked: DataFrame | None = None
-) -> DataFrame:
-    """Distinct entries (columns on) of current that processed lacks, and all of masked.
-
-    masked: entries that a deletion vector removes from the processed manifest.
-    """
-    keys = current.select(*on).dropna().distinct()
-    new = keys.join(processed.select(*on), on, "left_anti")
-    if masked is None:
-        return new
-    return new.unionByName(masked.select(*on).dropna()).distinct()
+from gneiss.sources.versioned import VersionedTable, run_incremental
+from gneiss.storage import Scratch
 
 
 def latest_per(df: DataFrame, scope: str, order: list[str], where: Column, keep: list[str]) -> DataFrame:
@@ -55,8 +48,8 @@ def content_hash(given: Column, parts: list[Column]) -> Column:
     return F.when(F.coalesce(plain, F.lit("")) == "", made).otherwise(plain)
 
 
-def pending_decisions(decisions: DataFrame, sync_states: DataFrame) -> DataFrame:
-    """(project_id, item_key): content hashes that the latest succeeded state of their project lacks.
+def _decisions(decisions: DataFrame, sync_states: DataFrame) -> DataFrame:
+    """(project_id, item_key, covered): distinct content hashes; covered by the latest succeeded state of their project.
 
     Ties on written_at go to the larger state_id.
     """
@@ -70,17 +63,19 @@ def pending_decisions(decisions: DataFrame, sync_states: DataFrame) -> DataFrame
     synced = state.select("project_id", F.explode("synced_content_hashes").alias("h")).select(
         "project_id", F.regexp_replace(F.lower(F.trim("h")), "^sha256:", "").alias("item_key")
     )
-    return manifest_delta(current, synced, ["project_id", "item_key"])
+    # one aggregation instead of two distincts and a join
+    both = current.withColumn("now", F.lit(True)).unionByName(synced.withColumn("now", F.lit(False))).dropna(subset=["project_id", "item_key"])
+    return both.groupBy("project_id", "item_key").agg(F.max("now").alias("now"), (~F.min("now")).alias("covered")).where("now").drop("now")
 
 
-def pending_files(file_changes: DataFrame, pending_batches: DataFrame) -> DataFrame:
-    """(project_id, item_key): files after the latest committed batch of their project, or in its queue.
+def _files(file_changes: DataFrame, pending_batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((project_id, item_key, covered), (project_id, item_key)): changed files, and the queues.
 
-    The batch covers the changes up to the commit of head_sha (which may be a
-    prefix) that had arrived when it was saved; remaining_queue is the deletion
-    vector of that coverage. A head_sha that names no known commit covers
-    nothing. Changes are reduced to one row a file before any join: one change
-    beyond either bound exists exactly if the largest is beyond it.
+    The latest committed batch of a project covers the changes up to the commit
+    of head_sha (which may be a prefix) that had arrived when it was saved. A
+    head_sha that names no known commit covers nothing. Changes are reduced to
+    one row a file before any join: one change beyond either bound exists
+    exactly if the largest is beyond it.
     """
     plain = lambda c: F.regexp_replace(F.trim(c), r"^(\./)+", "")
     batch = latest_per(
@@ -103,29 +98,48 @@ def pending_files(file_changes: DataFrame, pending_batches: DataFrame) -> DataFr
     bounds = batch.join(heads, F.col("project_id") == F.col("p"), "left").select("project_id", "head_seq", "saved_at")
     files = (
         file_changes.select("project_id", plain(F.col("file_path")).alias("item_key"), "commit_seq", "arrived_at")
-        .where(F.col("item_key") != "")
+        .where((F.col("item_key") != "") & F.col("project_id").isNotNull())
         .groupBy("project_id", "item_key")
         .agg(F.max("commit_seq").alias("seq"), F.max("arrived_at").alias("arrived"))
     )
     covered = (F.col("seq") <= F.col("head_seq")) & (F.coalesce("arrived", F.lit("1970-01-01").cast("timestamp")) <= F.col("saved_at"))
-    late = files.join(bounds, "project_id", "left").where(~F.coalesce(covered, F.lit(False)))
     queue = batch.select("project_id", F.explode("remaining_queue").alias("q")).select(
         "project_id", plain(F.col("q.file")).alias("item_key")
     )
-    return (
-        late.select("project_id", "item_key").unionByName(queue.where(F.col("item_key") != "")).dropna().distinct()
-    )
+    known = files.join(bounds, "project_id", "left").select("project_id", "item_key", F.coalesce(covered, F.lit(False)).alias("covered"))
+    return known, queue.where(F.col("item_key") != "").dropna().distinct()
+
+
+ITEM = T.StructType([T.StructField("project_id", T.LongType()), T.StructField("item_kind", T.StringType()), T.StructField("item_key", T.StringType())])
+
+
+def publish_items(source: VersionedTable, decisions: DataFrame, sync_states: DataFrame, file_changes: DataFrame, pending_batches: DataFrame) -> int:
+    """Bring the records into a versioned table; the number of the version that the last successful run covered.
+
+    Its first commit holds what the states cover, the second adds the files of
+    the other records, the third masks the covered records of the queues.
+    """
+    kind = lambda df, name: df.withColumn("item_kind", F.lit(name))
+    known, queue = _files(file_changes, pending_batches)
+    files = known.withColumn("queued", F.lit(False)).unionByName(queue.withColumns({"covered": F.lit(None).cast("boolean"), "queued": F.lit(True)}))
+    files = files.groupBy("project_id", "item_key").agg(F.coalesce(F.bool_and("covered"), F.lit(False)).alias("covered"), F.max("queued").alias("queued"))
+    decided = kind(_decisions(decisions, sync_states), "decision").withColumn("queued", F.lit(False))
+    items = Scratch(decisions.sparkSession, "items").keep(decided.unionByName(kind(files, "file")))
+    covered = source.commit(items.where("covered").select(*ITEM.names))
+    source.commit(items.where("NOT covered").select(*ITEM.names))
+    source.delete_keys(items.where("covered AND queued").select(*ITEM.names))
+    return covered
 
 
 def pending_items(decisions: DataFrame, sync_states: DataFrame, file_changes: DataFrame, pending_batches: DataFrame) -> DataFrame:
-    """(project_id, item_kind, item_key) of everything still to be processed."""
-    return (
-        pending_decisions(decisions, sync_states)
-        .select("project_id", F.lit("decision").alias("item_kind"), "item_key")
-        .unionByName(
-            pending_files(file_changes, pending_batches).select("project_id", F.lit("file").alias("item_kind"), "item_key")
-        )
-    )
+    """(project_id, item_kind, item_key) of everything still to be processed: the output of one incremental run."""
+    spark = decisions.sparkSession
+    root = Scratch(spark, "versions").root
+    source, sink = VersionedTable(spark, f"{root}/source", ITEM), VersionedTable(spark, f"{root}/pending", ITEM)
+    covered = publish_items(source, decisions, sync_states, file_changes, pending_batches)
+    sink.commit(processed={"items": covered})
+    run_incremental(source, sink, "items", lambda delta: delta.select(*ITEM.names))
+    return sink.read().distinct()
 
 
 def delta_counts(items: DataFrame) -> DataFrame:
