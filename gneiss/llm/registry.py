@@ -44,6 +44,10 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.broken_rates(table(spark, d, "parse_requests"))
 
 
+def p4_rules(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_rules(table(spark, d, "parse_requests"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return handmade.not_handwritten(table(spark, d, "parse_requests")).select("task_id")
 
@@ -82,7 +86,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_families, p1_invariants, p3_found, p3_report, p3_contained, p4_found, p4_rates, p5_found, p5_reasons, p5_rules, p7_ids, p8_found, p8_items, p8_cleaned, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_families, p1_invariants, p3_found, p3_report, p3_contained, p4_found, p4_rates, p4_rules, p5_found, p5_reasons, p5_rules, p7_ids, p8_found, p8_items, p8_cleaned, p9_found, p9_composition)}
 
 _FAMILY = r"""
 WITH RECURSIVE k AS (

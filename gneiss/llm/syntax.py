@@ -1,12 +1,19 @@
 """Source files that do not parse.
 
-A file is lexed into classes of tokens by its language. The lexed file becomes
-one row for each distinct pair of adjacent classes (with the ends of the file),
-and an anti-join with the pairs that the grammar permits leaves the pairs that
-cannot occur. Nesting and statement productions are validated by reducing the
-innermost groups window by window until only the top level is left; a file that
-fails there gets a pair that no grammar permits, so that the same anti-join
-finds it. Nothing is shuffled but the flagged files.
+A file is lexed into classes of tokens by its language, one character each, and
+its distinct pairs of adjacent classes (with the ends of the file). Three rules
+follow, each over the rows that the one before left:
+
+pairs: the pairs minus those that the grammar permits (an anti-join of sets, by
+a table of the permissible pairs with one row a language) leave some;
+nesting: a reduction over the brackets, from left to right, closes what it
+opens and leaves nothing;
+productions: the innermost groups are reduced window by window, each to a symbol
+of the productions it fits, until only the top level is left, which must be a
+sequence of statements.
+
+The first two are expressions of the JVM, the last runs in Arrow batches. No
+file is split over rows, so nothing is shuffled but the flagged files.
 
 The languages are those of grammar.LANGUAGES; a null or unknown code_language is
 replaced by that of the extension of file_path.
@@ -27,8 +34,6 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import grammar, productions
 
-BROKEN = "!!"
-
 
 def language(code_language: Column, file_path: Column) -> Column:
     """The language a row means, null if unknown."""
@@ -40,53 +45,71 @@ def language(code_language: Column, file_path: Column) -> Column:
     )
 
 
-_REDUCERS: dict[str, productions.Reducer] = {}
-
-
-def lexed_pairs(code: str, lang: str) -> list[str]:
-    """Distinct adjacent pairs of a file, and BROKEN if its nesting or a production fails."""
-    s = grammar.classes(code, lang)
-    if not s or s == ";":
-        return []
-    if lang not in _REDUCERS:
-        _REDUCERS[lang] = productions.Reducer(lang)
-    out = {a + b for a, b in set(zip(s, s[1:]))}
-    out.add("^" + s[0])
-    out.add(s[-1] + "$")
-    if not _REDUCERS[lang].valid(s):
-        out.add(BROKEN)
-    return list(out)
-
-
 def lex(requests: DataFrame) -> DataFrame:
-    """(task_id, repo_id, language, pairs) of every file with code and a known language."""
+    """(task_id, repo_id, language, classes, pairs) of every file with code and a known language."""
     rows = requests.where("task_id IS NOT NULL AND code IS NOT NULL").select(
         "task_id", "repo_id", language(F.col("code_language"), F.col("file_path")).alias("language"), "code"
     ).where("language IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame(
-                {
-                    "task_id": b["task_id"], "repo_id": b["repo_id"], "language": b["language"],
-                    "pairs": [lexed_pairs(c, g) for c, g in zip(b["code"], b["language"])],
-                }
-            )
+            found = [grammar.classes(c, g) for c, g in zip(b["code"], b["language"])]
+            b = b[["task_id", "repo_id", "language"]]
+            b["classes"] = ["" if s == ";" else s for s in found]
+            b["pairs"] = [sorted({x + y for x, y in set(zip("^" + s, s + "$"))}) for s in b["classes"]]
+            yield b[b["classes"] != ""]
 
-    return rows.mapInPandas(run, "task_id string, repo_id string, language string, pairs array<string>")
+    return rows.mapInPandas(run, "task_id string, repo_id string, language string, classes string, pairs array<string>")
 
 
 def permissible(requests: DataFrame) -> DataFrame:
-    """(language, pair): the pairs that the grammars permit, some thousands of rows whatever the input."""
-    rows = [(g, p) for g in productions.RULES for p in sorted(productions.pairs(g))]
-    return requests.sparkSession.createDataFrame(rows, "language string, pair string")
+    """(language, permitted): the pairs that each grammar permits; one row a language, some thousands of pairs in all, whatever the input."""
+    rows = [(g, sorted(productions.pairs(g))) for g in productions.RULES]
+    return requests.sparkSession.createDataFrame(rows, "language string, permitted array<string>")
+
+
+def unclosed(classes: Column) -> Column:
+    """Whether the brackets of a class string do not close what they open."""
+    brackets = F.split(F.regexp_replace(classes, r"[^()\[\]{}]", ""), "")
+    last, rest = lambda s: F.substring(s, -1, 1), lambda s: F.substring(s, F.lit(1), F.length(s) - 1)
+
+    def step(open_ones: Column, c: Column) -> Column:
+        partner = F.translate(c, ")]}", "([{")
+        return (
+            F.when((c == "") | (last(open_ones) == "!"), open_ones).when(c == partner, F.concat(open_ones, c))
+            .when(last(open_ones) == partner, rest(open_ones)).otherwise(F.concat(open_ones, F.lit("!")))
+        )
+
+    return F.aggregate(brackets, F.lit(""), step) != ""
+
+
+_REDUCERS: dict[str, productions.Reducer] = {}
+
+
+def _valid(classes: str, lang: str) -> bool:
+    if lang not in _REDUCERS:
+        _REDUCERS[lang] = productions.Reducer(lang)
+    return _REDUCERS[lang].valid(classes)
 
 
 def broken_files(requests: DataFrame) -> DataFrame:
-    """(task_id, repo_id, language) of the files that are not valid in their language."""
-    flat = lex(requests).select("task_id", "repo_id", "language", F.explode("pairs").alias("pair"))
-    bad = flat.join(F.broadcast(permissible(requests)), ["language", "pair"], "left_anti")
-    return bad.select("task_id", "repo_id", "language").distinct()
+    """(task_id, repo_id, language, rule) of the files that are not valid in their language, by the first rule that finds them."""
+    judged = lex(requests).join(F.broadcast(permissible(requests)), "language").select(
+        "task_id", "repo_id", "language", "classes",
+        F.when(F.size(F.array_except("pairs", "permitted")) > 0, "pairs").when(unclosed(F.col("classes")), "nesting").alias("rule"),
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["rule"] = [r or (None if _valid(s, g) else "productions") for r, s, g in zip(b["rule"], b["classes"], b["language"])]
+            yield b.loc[b["rule"].notna(), ["task_id", "repo_id", "language", "rule"]]
+
+    return judged.mapInPandas(run, "task_id string, repo_id string, language string, rule string").distinct()
+
+
+def broken_rules(requests: DataFrame) -> DataFrame:
+    """(language, rule, n_files): distinct files that each rule finds."""
+    return broken_files(requests).groupBy("language", "rule").agg(F.countDistinct("task_id").alias("n_files"))
 
 
 def broken_rates(requests: DataFrame) -> DataFrame:
