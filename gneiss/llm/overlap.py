@@ -201,17 +201,15 @@ def _classes(samples: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     ).where("side IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts, named = np.zeros(SKETCH, np.int64), ["sample_id", "side", "split", "family"]
         for b in batches:
-            seqs = [tokens(f, g) for f, g in zip(b["fragment"], b["code_language"])]
-            b = b.drop(columns=["fragment", "code_language"])
-            long_enough = [len(s) >= MIN_TOKENS for s in seqs]
-            b, seqs = b[long_enough], [s for s in seqs if len(s) >= MIN_TOKENS]
-            counts += np.bincount(grams(seqs)[0] & (SKETCH - 1), minlength=SKETCH)
-            b["seq"] = ["\x1f".join(s) for s in seqs]
-            b["cls"] = [hashlib.md5(s.encode("utf-8", "surrogatepass")).digest() for s in b["seq"]]
-            b["counts"] = None
-            yield b[["sample_id", "side", "split", "family", "cls", "seq", "counts"]]
+            rows = zip(*(b[c].tolist() for c in named), b["fragment"].tolist(), b["code_language"].tolist())
+            kept = [(*r[:4], s) for r in rows if len(s := tokens(r[4], r[5])) >= MIN_TOKENS]
+            counts += np.bincount(grams([r[4] for r in kept])[0] & (SKETCH - 1), minlength=SKETCH)
+            texts = ["\x1f".join(r[4]) for r in kept]
+            hashes = [hashlib.md5(s.encode("utf-8", "surrogatepass")).digest() for s in texts]
+            out = [(*r[:4], h, s, None) for r, h, s in zip(kept, hashes, texts)]
+            yield pd.DataFrame(out, columns=[*named, "cls", "seq", "counts"])
         # one row a task with its counts
         yield pd.DataFrame({"sample_id": [None], "side": [None], "split": [None], "family": [None], "cls": [None], "seq": [None], "counts": [counts.astype("<i8").tobytes()]})
 

@@ -2,7 +2,7 @@
 
 A file is lexed into classes of tokens by its language, one character each, and
 its distinct pairs of adjacent classes (with the ends of the file). Three rules
-follow, each over the rows that the one before left:
+follow, and a file is flagged by the first that finds it:
 
 pairs: the pairs minus those that the grammar permits (an anti-join of sets, by
 a table of the permissible pairs with one row a language) leave some;
@@ -12,8 +12,9 @@ productions: the innermost groups are reduced window by window, each to a symbol
 of the productions it fits, until only the top level is left, which must be a
 sequence of statements.
 
-The first two are expressions of the JVM, the last runs in Arrow batches. No
-file is split over rows, so nothing is shuffled but the flagged files.
+The first two are expressions of the JVM; the windows are reduced in the Arrow
+batches of the lexer, where contents once seen are remembered. No file is split
+over rows, so nothing is shuffled but the flagged files.
 
 The languages are those of grammar.LANGUAGES; a null or unknown code_language is
 replaced by that of the extension of file_path.
@@ -45,21 +46,31 @@ def language(code_language: Column, file_path: Column) -> Column:
     )
 
 
+_REDUCERS: dict[str, productions.Reducer] = {}
+
+
+def _fits(classes: str, lang: str) -> bool:
+    if lang not in _REDUCERS:
+        _REDUCERS[lang] = productions.Reducer(lang)
+    return _REDUCERS[lang].valid(classes)
+
+
 def lex(requests: DataFrame) -> DataFrame:
-    """(task_id, repo_id, language, classes, pairs) of every file with code and a known language."""
+    """(task_id, repo_id, language, classes, pairs, fits) of every file with code and a known language; fits: the productions hold."""
     rows = requests.where("task_id IS NOT NULL AND code IS NOT NULL").select(
         "task_id", "repo_id", language(F.col("code_language"), F.col("file_path")).alias("language"), "code"
     ).where("language IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [grammar.classes(c, g) for c, g in zip(b["code"], b["language"])]
-            b = b[["task_id", "repo_id", "language"]]
-            b["classes"] = ["" if s == ";" else s for s in found]
-            b["pairs"] = [sorted({x + y for x, y in set(zip("^" + s, s + "$"))}) for s in b["classes"]]
-            yield b[b["classes"] != ""]
+            out = []
+            for task, repo, lang, code in zip(*(b[c].tolist() for c in ("task_id", "repo_id", "language", "code"))):
+                s = grammar.classes(code, lang)
+                if s and s != ";":
+                    out.append((task, repo, lang, s, sorted({x + y for x, y in set(zip("^" + s, s + "$"))}), _fits(s, lang)))
+            yield pd.DataFrame(out, columns=["task_id", "repo_id", "language", "classes", "pairs", "fits"])
 
-    return rows.mapInPandas(run, "task_id string, repo_id string, language string, classes string, pairs array<string>")
+    return rows.mapInPandas(run, "task_id string, repo_id string, language string, classes string, pairs array<string>, fits boolean")
 
 
 def permissible(requests: DataFrame) -> DataFrame:
@@ -83,28 +94,13 @@ def unclosed(classes: Column) -> Column:
     return F.aggregate(brackets, F.lit(""), step) != ""
 
 
-_REDUCERS: dict[str, productions.Reducer] = {}
-
-
-def _valid(classes: str, lang: str) -> bool:
-    if lang not in _REDUCERS:
-        _REDUCERS[lang] = productions.Reducer(lang)
-    return _REDUCERS[lang].valid(classes)
-
-
 def broken_files(requests: DataFrame) -> DataFrame:
     """(task_id, repo_id, language, rule) of the files that are not valid in their language, by the first rule that finds them."""
-    judged = lex(requests).join(F.broadcast(permissible(requests)), "language").select(
-        "task_id", "repo_id", "language", "classes",
-        F.when(F.size(F.array_except("pairs", "permitted")) > 0, "pairs").when(unclosed(F.col("classes")), "nesting").alias("rule"),
+    rule = (
+        F.when(F.size(F.array_except("pairs", "permitted")) > 0, "pairs").when(unclosed(F.col("classes")), "nesting").when(~F.col("fits"), "productions")
     )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["rule"] = [r or (None if _valid(s, g) else "productions") for r, s, g in zip(b["rule"], b["classes"], b["language"])]
-            yield b.loc[b["rule"].notna(), ["task_id", "repo_id", "language", "rule"]]
-
-    return judged.mapInPandas(run, "task_id string, repo_id string, language string, rule string").distinct()
+    judged = lex(requests).join(F.broadcast(permissible(requests)), "language")
+    return judged.select("task_id", "repo_id", "language", rule.alias("rule")).where("rule IS NOT NULL").distinct()
 
 
 def broken_rules(requests: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def test_family_pairs_and_splits(spark):
     assert {tuple(r) for r in splits.family_pairs(df).collect()} == {("a/x", "b/y"), ("a/x", "c/z"), ("b/y", "c/z")}
     got = {r["sample_id"]: r for r in splits.assign_splits(df).collect()}
     assert set(got) == set("12345678") and len({got[i]["split"] for i in "1234"}) == 1
-    assert splits.family_pairs(df.limit(0)).count() == 0 and splits.assign_splits(df.limit(0)).count() == 0
+    assert tuple(splits.invariants(df).first()) == (8, 0, True)
+    assert splits.assign_splits(df.limit(0)).count() == 0
 
 
 def test_annealing_reaches_the_proportions(spark):
@@ -34,6 +35,13 @@ def test_annealing_reaches_the_proportions(spark):
     assert got.groupBy("component").agg({"split": "count"}).count() == got.select("component", "split").distinct().count()
 
 
+def test_sizes_come_before_labels_and_no_label_is_lost(spark):
+    sizes = {"a": 50, "b": 30, "c": 25, "d": 20, "e": 15, "f": 10}
+    rows = [sample(f"{f}{i}", None, f"o/{f}", None, lang=f"lang{f}{i}") for f, n in sizes.items() for i in range(n)]
+    got = splits.assign_splits(spark.createDataFrame(rows, SAMPLE), {"x": 0.5, "y": 0.3, "z": 0.2})
+    assert {r["split"]: r["n_samples"] for r in splits.split_sizes(got).collect()} == {"x": 75, "y": 45, "z": 30}
+
+
 CODE = "def f(a, b):\n    total = a.first(b) + other(a)\n    for x in total.items():\n        log.write(x, 'one', 17)\n    if total > b:\n        return finish(total, b)\n    return a.second(total)\n"
 
 
@@ -50,6 +58,40 @@ def test_overlap(spark):
     assert overlap.sample_pairs(df.limit(0)).count() == 0
 
 
+def gram_set(seq):
+    return set(overlap.grams([seq])[0].tolist())
+
+
+def nearly(toks, side, a, b):
+    e, t = (gram_set(toks[x]) for x in ((a, b) if side[a] != "train" else (b, a)))
+    close = len(e & t) >= -(-round(len(e) * overlap.LEAST, 6) // 1) and max(len(e), len(t)) <= overlap.RATIO * min(len(e), len(t))
+    return toks[a] == toks[b] or close and overlap.near(toks[a], toks[b]) >= overlap.NEAR
+
+
+def test_grams_of_batches():
+    rng = random.Random(3)
+    seqs = [[rng.choice(["a", "b1", "(", ")", ".", "if", "7", "'s'", ";"]) for _ in range(rng.randrange(0, 30))] for _ in range(60)]
+    g, o = overlap.grams(seqs)
+    for i, s in enumerate(seqs):
+        one = overlap.grams([s])[0].tolist()
+        assert sorted(one) == one and g[o == i].tolist() == one and len(set(one)) == len(one) >= 1
+    assert gram_set("x = a . f ( 1 )".split()) == gram_set("y = b . f ( 2 )".split()) != gram_set("y = b . g ( 2 )".split())
+    assert len(overlap.grams([])[0]) == 0
+
+
+def test_contained_records(spark):
+    rng = random.Random(9)
+    line = lambda i: f"v{i} = obj{rng.randrange(99)}.call{rng.randrange(999)}(arg{i}, {i})"
+    short = "\n".join(line(i) for i in range(8))
+    rows = [sample("e1", split="test", code=short), sample("e2", split="test", code="\n".join(line(i) for i in range(8)))]
+    rows += [sample(f"t{k}", code="\n".join([*(line(i) for i in range(60)), short, *(line(i) for i in range(k, 30))])) for k in range(3)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    got = {r["sample_id"]: (r["split"], r["n_records"]) for r in overlap.contained_records(df).collect()}
+    assert got == {"e1": ("test", 3)}
+    assert overlap.sample_pairs(df).count() == 0  # not the same code
+    assert overlap.contained_records(df.limit(0)).count() == 0
+
+
 def test_overlap_matches_brute_force_on_near_copies(spark):
     rng = random.Random(5)
     names = [f"n{i}" for i in range(40)]
@@ -65,7 +107,7 @@ def test_overlap_matches_brute_force_on_near_copies(spark):
         rows.append(sample(f"s{k:02}", split=rng.choice(["train", "test"]), code="\n".join(f)))
     toks = {r[0]: overlap.tokens(r[6], "python") for r in rows}
     side = {r[0]: r[4] for r in rows}
-    want = {(a, b) for a in toks for b in toks if a < b and side[a] != side[b] and overlap.near(toks[a], toks[b]) >= overlap.NEAR}
+    want = {(a, b) for a in toks for b in toks if a < b and side[a] != side[b] and nearly(toks, side, a, b)}
     assert len(want) > 15
     assert {(r[0], r[1]) for r in overlap.sample_pairs(spark.createDataFrame(rows, SAMPLE)).collect()} == want
 
@@ -76,14 +118,16 @@ def test_overlap_finds_every_pair_of_a_hot_group(spark):
 
     def variant(k):
         f = list(base)
-        for at in rng.sample(range(11), 9):
+        for at in rng.sample(range(9), 5):
             f[at] = f[at].replace(".call", f".own{k}x")
         return "\n".join(f)
 
     rows = [sample(f"s{k:03}", split="test" if k % 4 == 0 else "train", code=variant(k)) for k in range(400)]
     toks = {r[0]: overlap.tokens(r[6], "python") for r in rows}
     side = {r[0]: r[4] for r in rows}
-    want = {tuple(sorted((a, b))) for a in toks for b in toks if side[a] == "test" != side[b] and overlap.near(toks[a], toks[b]) >= overlap.NEAR}
+    grams = {i: gram_set(t) for i, t in toks.items()}
+    least = {i: -(-round(len(g) * overlap.LEAST, 6) // 1) for i, g in grams.items()}
+    want = {tuple(sorted((a, b))) for a in toks for b in toks if side[a] == "test" != side[b] and len(grams[a] & grams[b]) >= least[a] and overlap.near(toks[a], toks[b]) >= overlap.NEAR}
     assert len(want) == 100 * 300
     assert {(r[0], r[1]) for r in overlap.sample_pairs(spark.createDataFrame(rows, SAMPLE)).collect()} == want
 
@@ -102,8 +146,12 @@ GOOD = {
 
 @pytest.mark.parametrize("lang", sorted(GOOD))
 def test_syntax_by_language(lang):
-    permitted = productions.pairs(lang)
-    bad = lambda c: [p for p in syntax.lexed_pairs(c, lang) if p not in permitted]
+    permitted, reducer = productions.pairs(lang), productions.Reducer(lang)
+
+    def bad(code):
+        s = grammar.classes(code, lang)
+        return [a + b for a, b in zip("^" + s, s + "$") if a + b not in permitted] + ([] if reducer.valid(s) else ["fits"])
+
     assert bad(GOOD[lang]) == []
     assert bad(GOOD[lang].replace("\n", "\r\n")) == [] and bad("\ufeff" + GOOD[lang]) == []
     lines = GOOD[lang].split("\n")
@@ -124,7 +172,9 @@ def test_broken_files(spark):
         ("5", "r", "b.zzz", "((", None, 1), ("6", "r", "c.js", GOOD["typescript"], "javascript", 1), ("7", "r", "c.ts", GOOD["javascript"], None, 1), ("8", "r", "x", "x = [" + "1, " * 60000 + "2]\n", "python", 1), (None, "r", "x.py", "((", "py", 1),
     ]
     df = spark.createDataFrame(rows, FILES)
-    assert {r[0] for r in syntax.broken_files(df).select("task_id").collect()} == {"2", "6"}
+    assert {r["task_id"]: r["rule"] for r in syntax.broken_files(df).collect()} == {"2": "pairs", "6": "pairs"}
+    nested = spark.createDataFrame([(str(i), c) for i, c in enumerate(["(a)[b]{}", "(]", "(", ")", "", "([)]", "x" * 9, "(" * 3000 + ")" * 3000])], "i string, c string")
+    assert [r[0] for r in nested.orderBy("i").select(syntax.unclosed(nested.c)).collect()] == [False, True, True, True, False, True, False, False]
     rates = {(r["language"]): (r["n_files"], r["n_broken"]) for r in syntax.broken_rates(df).collect()}
     assert rates == {"python": (3, 1), "javascript": (1, 1), "typescript": (1, 0)}
     assert syntax.broken_files(df.limit(0)).count() == 0
@@ -153,6 +203,25 @@ def test_handmade(spark):
     assert handmade.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_headers_are_read_whole_and_calls_are_no_data():
+    licence = "".join(f"// line {i} of a long licence text\n" for i in range(700))
+    assert handmade.describe("a.go", licence + "// Code generated by tool. DO NOT EDIT.\npackage a\n", "go")[:2] == ("generated", "header")
+    assert handmade.describe("a.go", licence + "package a\n// Code generated by tool. DO NOT EDIT.\n", "go")[0] == "generated"
+    calls = "".join(f"  step{i}Of({'9, ' * i}'a rather long text of no use {i}');\n" for i in range(12))
+    assert handmade.describe("a.js", "function f() {\n" + calls + "}\n", "javascript")[0] is None
+    same = "".join(f"  add({i}, 'a rather long text of no use {i}');\n" for i in range(12))
+    assert handmade.describe("a.js", same, "javascript")[0] == "data"
+    for other in ('{\n  "a0": {\n    "b": 1,\n    "c": ["x", "y"]\n  }\n}\n', ".a-b {\n  margin: 3px;\n  color: #ff0011;\n}\n" * 9):
+        assert handmade.describe("a.ts", other, "typescript")[0] is None
+
+
+def test_deep_paths_and_rules(spark):
+    deep = "/".join(f"d{i}" for i in range(3000))
+    rows = [("a", deep + "/x.js", "1"), ("b", deep + "/x.js", "1"), ("a", "p/y.js", "2")]
+    t = handmade.directory_hashes(spark.createDataFrame(rows, "repo string, file_path string, whole string"))
+    assert t.where("repo = 'b'").count() == handmade.DEPTH - 1
+
+
 def test_merkle_directories(spark):
     rows = [("a", "lib/p/x.js", "1"), ("a", "lib/p/y.js", "2"), ("b", "q/p/x.js", "1"), ("b", "q/p/y.js", "2"), ("b", "q/z.js", "3"), (None, "lib/p/x.js", "1")]
     t = {(r["repo"], r["dir"]): (r["tree"], r["n_files"]) for r in handmade.directory_hashes(spark.createDataFrame(rows, "repo string, file_path string, whole string")).collect()}
@@ -165,7 +234,7 @@ def test_copies_of_whole_files_and_of_directories_of_one_revision(spark):
         "int zl_read(zl_t *z);\nstruct zl_state;\n#undef zl_debug\nenum zl_mode;\n#if ZL_LIMIT > 32\n#pragma once\n#endif\n"
     )
     tiny = lambda i: f"export * from './m{i}';\n"
-    whole = lambda i: handmade.describe("a.js", tiny(i), "javascript")[1]
+    whole = lambda i: handmade.describe("a.js", tiny(i), "javascript")[2]
     # the other revisions' contents have the smaller hashes
     other = lambda i, k: next(tiny(j) for j in range(k, k + 999) if whole(j) < whole(i))
     files = [
@@ -228,6 +297,43 @@ def test_leaks(spark):
     assert leaks.leaks(d.limit(0), it).count() == 0 and leaks.leaks(d, it.limit(0)).count() == 0
 
 
+def test_leaks_of_any_length(spark, monkeypatch):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(3000)}" for _ in range(900)]
+    changed = [*long[:500], "other", *long[501:]]
+    automaton = leaks.Automaton([long, ["single"], ["two", "words"], long[:10]])
+    best = {i: c[0] for i, c in leaks.matches(automaton, ["pre", *changed, "single", "or", "two", "words"]).items()}
+    assert best[0][:3] == (899, 0, 900) and best[0][3:] == (1, 901) and best[1][0] == 1 and best[2][0] == 2
+    again = leaks.matches(automaton, [*long[100:140], *["zz"] * 50, *long[100:140]])[0]
+    assert [c[3:] for c in again if c[0] == 40] == [(0, 40), (90, 130)]
+    items = spark.createDataFrame([(i, "s", "t", " ".join(f"q{i}x{k}" for k in range(30))) for i in range(12)] + [(50, "s", "t", "lone")], "item_id long, suite string, item_split string, text string")
+    text = lambda i: "Vor\u0301her: " + ", ".join(f"Q{i}X{k}" for k in range(30)) + "! nach\u00ad her"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(12)] + [(90, "one lone word"), (91, None), (92, "")], "doc_id long, text string")
+    want = {(i, i) for i in range(12)} | {(90, 50)}
+    assert {(r[0], r[1]) for r in leaks.leaks(docs, items).collect()} == want
+    clean = {r["doc_id"]: (r["text"], r["n_spans"], r["removed_words"]) for r in leaks.without_leaks(docs, items).collect()}
+    assert clean[3] == ("Vor\u0301her:  ! nach\u00ad her", 1, 30) and clean[90] == ("one   word", 1, 1) and clean[91] == (None, 0, 0) and clean[92] == ("", 0, 0)
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
+    assert {(r[0], r[1]) for r in leaks.leaks(docs, items).collect()} == want
+    assert {r["doc_id"]: r["n_spans"] for r in leaks.without_leaks(docs, items).collect()} == {d: c[1] for d, c in clean.items()}
+
+
+def test_growth_matches_brute_force(spark):
+    rng = random.Random(11)
+    rows = [([f"w{x}" for x in sorted(rng.sample(range(40), rng.randrange(2, 9)))], rng.choice("abc")) for _ in range(400)]
+    rows = [(w, "a" if {"w1", "w2"} <= set(w) else area) for w, area in rows]
+    rules, seen = subjects.mine(spark.createDataFrame(rows, "words array<string>, area string"), 4, 0.6)
+    size = {a: sum(x == a for _, x in rows) for a in "abc"}
+    count = lambda k, a: sum(set(k) <= set(w) and x == a for w, x in rows)
+    assert ("w1", "w2") in rules and seen == {w for ws, _ in rows for w in ws}
+    for k, (area, _) in rules.items():
+        rates = {a: count(k, a) / size[a] for a in "abc"}
+        assert area == max(rates, key=rates.get) and sum(count(k, a) for a in "abc") >= 4
+        assert rates[area] / (sum(rates.values()) + 0.5 * 3 / 400) >= 0.6
+    sure = lambda k: max(count(k, a) / size[a] for a in "abc") / (sum(count(k, a) / size[a] for a in "abc") + 0.5 * 3 / 400) >= 0.6
+    assert {k for k in rules if len(k) == 1} == {(w,) for w in seen if sure((w,))}
+
+
 def test_subjects(spark):
     rng = random.Random(7)
     vocabulary = {a: [f"{a}{x}" for x in ("alpha", "bravo", "carol", "delta", "elder", "fixed")] for a in ("sun", "sea", "law")}
