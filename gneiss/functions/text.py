@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that are no keywords.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "why", "with"]
+STOP_WORDS = ["a", "an", "and", "are", "can", "do", "does", "for", "from", "how", "i", "in", "is", "it", "me", "of", "on", "or", "show", "that", "the", "this", "to", "what", "when", "where", "which", "who", "why", "with"]
 
 
 def keywords(c: Column) -> Column:
@@ -54,30 +54,49 @@ def canary_bucket(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def first_line(message: Column) -> Column:
+    """First line of a message, trimmed."""
+    return F.regexp_replace(F.substring_index(message, "\n", 1), r"^\s+|\s+$", "")
+
+
 def commit_type(subject: Column) -> Column:
     """Type of a conventional commit, null if it is none."""
-    t = F.lower(F.regexp_extract(subject, r"^([A-Za-z]+)(?:\([^)]*\))?!?:\s", 1))
+    t = F.lower(F.regexp_extract(first_line(subject), r"^([A-Za-z]+)(?:\([^)]*\))?!?:", 1))
     return F.when(t != "", t)
 
 
 # Commit types and subjects that hold no decision, and the least length of a subject.
-DENIED_TYPES = ["chore", "style", "test", "tests", "ci", "build", "docs", "doc"]
-JUNK = r"(?i)^(wip|fixup!|squash!|merge (branch|pull request|remote)|bump |update dependencies|typo|initial commit)"
+DENIED_TYPES = ["chore", "style", "ci", "build", "docs", "test"]
+JUNK = r"(?i)^(wip|fixup!|squash!|typo|lint|format|merge branch)"
 LEAST_SUBJECT = 10
 
 
 def worth_reading(subject: Column) -> Column:
-    """Whether a commit subject may hold a decision."""
-    s = F.trim(subject)
-    return F.coalesce((F.length(s) >= LEAST_SUBJECT) & ~s.rlike(JUNK) & ~F.coalesce(commit_type(s).isin(DENIED_TYPES), F.lit(False)), F.lit(False))
+    """Whether the first line of a commit message may hold a decision; its length counts without the type."""
+    s = first_line(subject)
+    text = F.regexp_replace(s, r"^[A-Za-z]+(\([^)]*\))?!?:\s*", "")
+    return F.coalesce((F.length(text) >= LEAST_SUBJECT) & ~s.rlike(JUNK) & ~F.coalesce(commit_type(s).isin(DENIED_TYPES), F.lit(False)), F.lit(False))
+
+
+# Folders that hold no domain at the top of a path, folders that are no domain, roots of workspaces.
+IGNORED_TOP = ["node_modules", "dist", "build", "docs", "test", "tests", "scripts"]
+NO_DOMAIN = ["src", "lib", "app"]
+WORKSPACE_ROOTS = ["packages", "artifacts", "crates"]
 
 
 def domain(path: Column) -> Column:
-    """Domain of a path: the two first directories below a packages-like root, else the first; '(root)' for bare files."""
-    parts = F.split(path, "/")
+    """Domain of a path, null for bare files, hidden, ignored and structural folders.
+
+    src/x is x, packages/x/src/... is x, x/src/... is x, else the first folder.
+    """
+    parts = F.split(F.trim(path), "/")
     n = F.size(parts)
-    nested = parts[0].isin("packages", "apps", "libs", "lib", "src") & (n > 2)
-    return F.when(nested, F.concat_ws("/", parts[0], parts[1])).when(n > 1, parts[0]).otherwise("(root)")
+    at = lambda i: F.get(parts, F.lit(i))
+    found = (
+        F.when((at(0) == "src") & (n > 1), at(1)).when((n > 3) & at(0).isin(WORKSPACE_ROOTS) & (at(2) == "src"), at(1)).otherwise(at(0))
+    )
+    bad = (n <= 1) | at(0).startswith(".") | at(0).isin(IGNORED_TOP) | found.contains(".") | found.isin(NO_DOMAIN)
+    return F.when(~bad, found)
 
 
 def xml_escape(c: Column) -> Column:

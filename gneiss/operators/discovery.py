@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.operators.maintenance import numbered
+
 # Extensions that have a parser.
 SUPPORTED = ["ts", "tsx", "js", "jsx", "mjs", "py", "go", "java", "cs", "rs", "c", "h"]
 
@@ -81,4 +83,4 @@ def signature_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
     """Canonical order with nulls first; row numbers as position."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])))
+    return numbered(df, keys)

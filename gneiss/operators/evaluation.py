@@ -122,15 +122,18 @@ def certify_threshold(rows: DataFrame, target: float) -> DataFrame:
 
 
 def isotonic_fit(rows: DataFrame, by: str) -> DataFrame:
-    """(by, score, n, fitted): pool-adjacent-violators per model over its distinct scores."""
-    per = rows.where("score IS NOT NULL").groupBy(by, "score").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("positive").cast("double")).alias("value"))
+    """(by, score, n, fitted): pool-adjacent-violators per model over its distinct scores; a model of one outcome only is not fitted (null)."""
+    rows = rows.where("score IS NOT NULL")
+    classes = rows.groupBy(by).agg(F.countDistinct("positive").alias("_classes"))
+    per = rows.groupBy(by, "score").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("positive").cast("double")).alias("value"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score")
         pdf["fitted"] = isotonic(pdf["score"].tolist(), pdf["n"].tolist(), pdf["value"].tolist())
         return pdf[[by, "score", "n", "fitted"]]
 
-    return per.groupBy(by).applyInPandas(fit, f"`{by}` {dict(rows.dtypes)[by]}, score double, n long, fitted double")
+    fitted = per.groupBy(by).applyInPandas(fit, f"`{by}` {dict(rows.dtypes)[by]}, score double, n long, fitted double")
+    return fitted.join(classes, by).select(by, "score", "n", F.when(F.col("_classes") == 2, F.col("fitted")).alias("fitted"))
 
 
 def nearest_rank(values: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -167,7 +170,7 @@ def set_scores(rows: DataFrame) -> DataFrame:
 def audit_sample(rows: DataFrame, stratum: str, key: str, seed: str, share: float = 0.1, always: str | None = None) -> DataFrame:
     """Rows of a sample by hash rank, ceil(share n) of each stratum, and all rows where the column always holds."""
     w = Window.partitionBy(stratum)
-    h = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)
+    h = F.sha2(F.concat_ws("\0", F.lit(seed), F.col(key).cast("string")), 256)
     r = rows.withColumn("_h", h)
     r = r.withColumn("_i", F.row_number().over(w.orderBy("_h", key))).withColumn("_n", F.count(F.lit(1)).over(w))
     take = F.col("_i") <= F.ceil(F.col("_n") * share)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.maintenance import numbered
+
 LEXICAL = ["lexical_parent", "lexical_owner"]
 STRUCTURAL = ["contains", *LEXICAL]
 
@@ -109,8 +111,7 @@ def cluster_label(path: Column) -> Column:
 def groups(nodes: DataFrame) -> DataFrame:
     """(group_id, label, n): ids by the first node key of each group."""
     g = nodes.groupBy(cluster_label(F.col("path")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("node_key").alias("k"))
-    # one row a directory of at most two segments
-    return g.select((F.row_number().over(Window.orderBy("k")) - 1).alias("group_id"), "label", "n")
+    return numbered(g, ["k"]).select((F.col("position") - 1).alias("group_id"), "label", "n")
 
 
 def collapse_to_files(nodes: DataFrame, links: DataFrame) -> DataFrame:

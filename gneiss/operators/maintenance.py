@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import normalised_content, normalised_title
+from gneiss.storage import Scratch
 
 
 def hash_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -55,14 +56,36 @@ def queue_upsert(entries: DataFrame, key: str, seq: str) -> DataFrame:
     return last.where("_i = 1").drop("_i")
 
 
-def queue_order(entries: DataFrame) -> DataFrame:
-    """(file, position): by least priority, then number of sites (most first), then sorted signatures, then file.
+# How urgent a resolution class is; others, stale and contradicted ones are 0.
+TIER_B_PRIORITY = {"likely": 1, "proven": 2}
 
-    entries: (file, priority, signature), a row a site.
+
+def queue_order(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """(file, commit_sha, idx, position) of the queue: by most urgent resolution, signatures at that priority, file, commit, index.
+
+    queue: (file, commit_sha, idx); resolutions: (file, cls, stale, verification, signature). A file without
+    resolutions has priority 0 and no signature.
+    """
+    p = F.coalesce(*[F.when(F.col("cls") == c, F.lit(n)) for c, n in TIER_B_PRIORITY.items()], F.lit(0))
+    p = F.when(F.coalesce("stale", F.lit(False)) | (F.coalesce("verification", F.lit("")) == "contradicted"), 0).otherwise(p)
+    per = resolutions.groupBy("file", p.alias("p")).agg(F.array_join(F.array_sort(F.collect_set("signature")), "\0").alias("signatures"))
+    least = per.groupBy("file").agg(F.min(F.struct("p", "signatures")).alias("m")).select("file", "m.p", "m.signatures")
+    known = queue.join(least, "file", "left").select("file", "commit_sha", "idx", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("signatures", F.lit("")).alias("signatures"))
+    return numbered(known, ["p", "signatures", "file", "commit_sha", "idx"]).select("file", "commit_sha", "idx", "position")
+
+
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with position, from 1 on, in the total order of the keys, nulls first.
+
+    Sorted by ranges of the keys, numbered within each range, and shifted by the sizes of the ranges before; no task
+    holds more than a range, only one count a range goes to the driver's side of a broadcast.
     """
-    g = entries.groupBy("file").agg(F.min("priority").alias("p"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("signature")), ",").alias("s"))
-    # the position is a total order over the queue: sorted by ranges, numbered within partitions, shifted by their sizes
-    return g.select("file", F.row_number().over(Window.orderBy("p", F.desc("n"), "s", "file")).alias("position"))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    ranged = Scratch(df.sparkSession, "ranges").keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row a range
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_i", within).join(F.broadcast(before), "_part").withColumn("position", (F.col("_i") + F.col("_before")).cast("int")).drop("_part", "_i", "_before")
 
 
 def evict(queue: DataFrame, failures: DataFrame, most: int = 3) -> DataFrame:
@@ -103,15 +126,22 @@ def triggered(changes: DataFrame, most: int = 512_000) -> DataFrame:
     return t.select("key", "seq", "total", ((F.col("total") >= most) & (F.col("total") - F.col("bytes") < most)).alias("trigger"))
 
 
-def budget_prefix(parts: DataFrame, most: int = 8000, each: int = 500) -> DataFrame:
-    """(grp, id, size, kept): in order of confidence, cut to each characters, up to the first part that overflows.
+def budget_prefix(parts: DataFrame, most: int = 8000, each: int = 500, least_confidence: float = 0.0) -> DataFrame:
+    """(grp, id, size, kept): lines "- [type] title: text", text cut to each characters, by confidence, then title, then id, up to the first that overflows.
 
-    parts: (grp, id, confidence, text). What comes after the first overflow is dropped too.
+    parts: (grp, id, node_type, title, confidence, text); a null confidence passes any least one and sorts as 0. What
+    comes after the first overflow is dropped too. As a line has six characters or more, only the first most / 6 + 1
+    of a group can be kept, so only these are summed up; a group of any size is cut to them before its window.
     """
-    size = F.least(F.length("text"), F.lit(each))
-    w = Window.partitionBy("grp").orderBy(F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    p = parts.withColumn("size", size).withColumn("upto", F.sum("size").over(w))
-    return p.select("grp", "id", "size", (F.max((F.col("upto") > most).cast("int")).over(w) == 0).alias("kept"))
+    p = parts.where(F.coalesce("confidence", F.lit(1.0)) >= least_confidence)
+    size = 6 + F.length(F.coalesce("node_type", F.lit("node"))) + F.length(F.coalesce("title", F.lit(""))) + F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(each))
+    order = [F.coalesce("confidence", F.lit(0.0)).desc(), F.col("title").asc_nulls_first(), F.col("id")]
+    p = p.withColumn("size", size)
+    w = Window.partitionBy("grp").orderBy(*order)
+    first = p.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most // 6 + 1)
+    upto = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("_upto", upto).where(F.col("_upto") <= most).select(F.col("grp").alias("_g"), F.col("id").alias("_id"), F.lit(True).alias("kept"))
+    return p.join(kept, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("id") == F.col("_id")), "left").select("grp", "id", "size", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def compress(nodes: DataFrame) -> DataFrame:
@@ -146,6 +176,13 @@ def publishable(changed: DataFrame, decisions: DataFrame, synced: DataFrame) ->
     return decisions.join(changed.select("node_key").distinct(), "node_key", "left_semi").join(synced.select("hash").distinct(), "hash", "left_anti")
 
 
-def hotspots(changes: DataFrame, domain: Column, k: int = 5) -> DataFrame:
-    """(domain, n): the k domains with most changes; ties by name."""
-    return changes.groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(k)
+def hotspots(changes: DataFrame, domain: Column, scope: str, order: str, k: int = 5, commits: int = 100) -> DataFrame:
+    """(scope, domain, n): the k domains with most changes in the last commits of each scope; ties by name, no domain left out of the count.
+
+    order: column whose last distinct values are the last commits.
+    """
+    last = changes.select(scope, order).dropna().distinct()
+    last = last.withColumn("_i", F.row_number().over(Window.partitionBy(scope).orderBy(F.desc(order)))).where(F.col("_i") <= commits).drop("_i")
+    n = changes.join(last, [scope, order], "left_semi").where(domain.isNotNull()).groupBy(scope, domain.alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(scope).orderBy(F.desc("n"), "domain")
+    return n.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= k).select(scope, "domain", "n")

@@ -11,14 +11,21 @@ WEIGHTS = {"receiver_type": 100, "peer_members": 20, "arity": 10, "same_director
 CERTIFIED_GROUPS, CERTIFIED_BOUND = 299, 0.99
 
 
-def name_candidates(call_sites: DataFrame, symbols: DataFrame, limit: int = 25) -> DataFrame:
-    """(site_id, target_key, ordinal, truncated): symbols of the called name in other files, in key order.
+def name_candidates(call_sites: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, limit: int = 25) -> DataFrame:
+    """(site_id, target_key, ordinal, truncated): symbols of the called name in other files.
 
-    call_sites: (site_id, file_path, callee); symbols: (symbol_key, name, path).
+    Order: what the file is known to call, then symbols of files that it imports, then the rest, each by key; the
+    limit is the reference bound of a candidate list, truncated says that there are more.
+    call_sites: (site_id, file_path, callee); symbols: (symbol_key, name, path); calls: (file_path, target_key);
+    imports: (file_path, imported).
     """
     s = symbols.select("symbol_key", "name", "path")
-    hit = call_sites.join(s, F.col("callee") == F.col("name")).where("path <> file_path")
-    w = Window.partitionBy("site_id").orderBy("symbol_key")
+    hit = call_sites.join(s, F.col("callee") == F.col("name")).where("path <> file_path").select("site_id", "file_path", "symbol_key", "path")
+    known = calls.select(F.col("file_path"), F.col("target_key").alias("symbol_key")).distinct().withColumn("called", F.lit(0))
+    imported = imports.select("file_path", F.col("imported").alias("path")).distinct().withColumn("near", F.lit(1))
+    hit = hit.join(known, ["file_path", "symbol_key"], "left").join(imported, ["file_path", "path"], "left")
+    hit = hit.withColumn("evidence", F.coalesce("called", "near", F.lit(2)))
+    w = Window.partitionBy("site_id").orderBy("evidence", "symbol_key")
     ranked = hit.select("site_id", F.col("symbol_key").alias("target_key"), (F.row_number().over(w) - 1).alias("ordinal"), (F.count(F.lit(1)).over(Window.partitionBy("site_id")) > limit).alias("truncated"))
     return ranked.where(F.col("ordinal") < limit)
 
@@ -49,10 +56,16 @@ def decision(n: Column, supported: Column, calibrated: Column, truncated: Column
     )
 
 
-def trusted(cls: Column, selected: Column, stale: Column, quarantined: Column, verification: Column) -> Column:
-    """Whether a resolution may be shown as resolved."""
-    shown = cls.isin(PROVEN, LIKELY) & selected.isNotNull()
-    return ~F.coalesce(stale, F.lit(False)) & (verification.isin("verified", "contradicted") | (shown & ~F.coalesce(quarantined, F.lit(False))))
+def trusted(cls: Column, selected: Column, stale: Column, verification: Column, verified: Column) -> Column:
+    """Whether a resolution may be shown as resolved: not stale, not contradicted, and proven or verified for the selected target."""
+    status = F.coalesce(verification, F.lit(""))
+    sure = (cls == PROVEN) | ((status == "verified") & selected.isNotNull() & F.coalesce(verified == selected, F.lit(False)))
+    return F.coalesce(~F.coalesce(stale, F.lit(False)) & (status != "contradicted") & sure, F.lit(False))
+
+
+def evidence_label(is_trusted: Column, verification: Column) -> Column:
+    """tier-b-verified or static-proof of a trusted resolution, else null."""
+    return F.when(is_trusted, F.when(verification == "verified", "tier-b-verified").otherwise("static-proof"))
 
 
 def masked(cls: Column, confidence: Column, stale: Column) -> tuple[Column, Column]:
@@ -61,10 +74,13 @@ def masked(cls: Column, confidence: Column, stale: Column) -> tuple[Column, Colu
     return c, F.when(c == LIKELY, confidence)
 
 
-def alternatives(candidates: Column, selected: Column, n: int) -> Column:
-    """The first n candidates (ordinal, target) without the selected one, as targets."""
-    others = F.filter(F.array_sort(candidates), lambda x: ~x["target"].eqNullSafe(selected))
-    return F.transform(F.slice(others, 1, n), lambda x: x["target"])
+def alternatives(candidates: Column, selected: Column, cls: Column, stale: Column) -> tuple[Column, Column]:
+    """(alternatives, ambiguous) of candidates (ordinal, target): two others of a likely resolution, three of an ambiguous one; stale ones have none."""
+    ordered = F.array_sort(candidates)
+    targets = lambda c, n: F.transform(F.slice(c, 1, n), lambda x: x["target"])
+    fresh, none = ~F.coalesce(stale, F.lit(False)), F.slice(F.transform(ordered, lambda x: x["target"]), 1, 0)
+    others = F.filter(ordered, lambda x: ~x["target"].eqNullSafe(selected))
+    return F.when(fresh & (cls == LIKELY), targets(others, 2)).otherwise(none), F.when(fresh & (cls == "ambiguous"), targets(ordered, 3)).otherwise(none)
 
 
 def projection(resolutions: DataFrame, quarantines: DataFrame, nodes: DataFrame) -> DataFrame:

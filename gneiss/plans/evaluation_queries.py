@@ -131,7 +131,7 @@ def eval_set_scores(spark, d):
     return ev.set_scores(o)
 
 
-@query("""WITH r AS (SELECT o_orderpriority, o_orderkey, o_orderstatus, sha256('s1|'||o_orderkey::VARCHAR) AS h FROM orders), w AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM r)
+@query("""WITH r AS (SELECT o_orderpriority, o_orderkey, o_orderstatus, sha256('s1'||chr(0)||o_orderkey::VARCHAR) AS h FROM orders), w AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM r)
 SELECT o_orderpriority, o_orderkey FROM w WHERE i <= ceil(n*0.1) OR o_orderstatus='P'""")
 def eval_audit_sample(spark, d):
     o = table(spark, d, "orders").withColumn("conflict", F.col("o_orderstatus") == "P")

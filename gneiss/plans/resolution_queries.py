@@ -37,12 +37,17 @@ def sites(spark, d):
     )
 
 
-@query("""WITH s AS (SELECT p_partkey, p_name, p_brand FROM part), h AS (SELECT a.p_partkey AS site_id, b.p_partkey AS target_key, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey)-1 AS ordinal, count(*) OVER (PARTITION BY a.p_partkey)>25 AS truncated
-FROM s a JOIN s b ON a.p_name=b.p_name AND a.p_brand<>b.p_brand) SELECT * FROM h WHERE ordinal < 25""")
+@query("""WITH s AS (SELECT p_partkey, p_name, p_brand FROM part), h AS (SELECT a.p_partkey AS site_id, b.p_partkey AS target_key,
+ CASE WHEN EXISTS (SELECT 1 FROM part c WHERE c.p_brand = a.p_brand AND c.p_size = b.p_partkey % 50) THEN 0 WHEN substr(b.p_brand, 8, 1) = '3' THEN 1 ELSE 2 END AS e FROM s a JOIN s b ON a.p_name=b.p_name AND a.p_brand<>b.p_brand),
+r AS (SELECT site_id, target_key, row_number() OVER (PARTITION BY site_id ORDER BY e, target_key)-1 AS ordinal, count(*) OVER (PARTITION BY site_id)>25 AS truncated FROM h) SELECT * FROM r WHERE ordinal < 25""")
 def resolve_name_candidates(spark, d):
     p = table(spark, d, "part")
-    calls = p.select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("callee"))
-    return rs.name_candidates(calls, p.select(F.col("p_partkey").alias("symbol_key"), F.col("p_name").alias("name"), F.col("p_brand").alias("path")))
+    sites = p.select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("file_path"), F.col("p_name").alias("callee"))
+    known = p.select(F.col("p_brand").alias("file_path"), F.col("p_size").alias("size")).distinct()
+    calls = known.join(p, F.col("p_partkey") % 50 == F.col("size")).select("file_path", F.col("p_partkey").alias("target_key"))
+    brands = p.select("p_brand").distinct()
+    imports = brands.select(F.col("p_brand").alias("file_path")).join(brands.where("substring(p_brand, 8, 1) = '3'").select(F.col("p_brand").alias("imported")))
+    return rs.name_candidates(sites, p.select(F.col("p_partkey").alias("symbol_key"), F.col("p_name").alias("name"), F.col("p_brand").alias("path")), calls, imports)
 
 
 _CAND = """c AS (SELECT l_orderkey AS site_id, l_linenumber AS target_key, l_partkey%5=0 AS receiver_type, l_partkey%3=0 AS peer_members, l_suppkey%2=0 AS arity, l_quantity>25 AS same_directory, l_returnflag AS path, l_linenumber AS start_line, l_linestatus='O' AS is_static FROM lineitem)"""
@@ -96,20 +101,23 @@ def resolve_counters(spark, d):
     return rs.site_counters(sites(spark, d).select(F.col("caller").alias("file_path"), F.when(F.col("cls") == "unknown", "unresolved").otherwise(F.col("cls")).alias("bucket")))
 
 
-@query("WITH " + _SITES + "SELECT site_id, (NOT stale) AND (verification IN ('verified','contradicted') OR (cls IN ('proven','likely') AND rule NOT LIKE 'R%')) AS ok, CASE WHEN stale THEN 'unknown' ELSE cls END AS shown, CASE WHEN NOT stale AND cls='likely' THEN 0.5 END AS confidence FROM sites")
+@query("WITH " + _SITES + ", t AS (SELECT *, coalesce(NOT stale AND verification <> 'contradicted' AND (cls = 'proven' OR (verification = 'verified' AND target % 2 = 0)), false) AS ok FROM sites) SELECT site_id, ok, CASE WHEN ok THEN CASE WHEN verification = 'verified' THEN 'tier-b-verified' ELSE 'static-proof' END END AS label, CASE WHEN stale THEN 'unknown' ELSE cls END AS shown, CASE WHEN NOT stale AND cls='likely' THEN 0.5 END AS confidence FROM t")
 def resolve_trusted(spark, d):
     r = sites(spark, d)
     cls, conf = rs.masked(F.col("cls"), F.lit(0.5), F.col("stale"))
-    return r.select("site_id", rs.trusted(F.col("cls"), F.col("target"), F.col("stale"), F.col("rule").startswith("R"), F.col("verification")).alias("ok"), cls.alias("shown"), conf.alias("confidence"))
+    ok = rs.trusted(F.col("cls"), F.col("target"), F.col("stale"), F.col("verification"), F.col("target") + F.col("target") % 2)
+    return r.select("site_id", ok.alias("ok"), rs.evidence_label(ok, F.col("verification")).alias("label"), cls.alias("shown"), conf.alias("confidence"))
 
 
-@query("SELECT l_orderkey AS site_id, list_slice(list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_linenumber<>1),1,2) AS others FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber<>1)>0")
+@query("""WITH g AS (SELECT l_orderkey AS site_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS c, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_partkey <> 0) AS x, min(l_partkey) AS s, l_orderkey % 3 AS k, l_orderkey % 7 = 0 AS stale FROM lineitem GROUP BY l_orderkey)
+SELECT site_id, CASE WHEN k = 0 AND NOT stale THEN list_slice(list_filter(c, lambda v: v <> s), 1, 2) ELSE [] END AS alternatives, CASE WHEN k = 1 AND NOT stale THEN list_slice(c, 1, 3) ELSE [] END AS ambiguous FROM g""")
 def resolve_alternatives(spark, d):
+    k = F.col("site_id") % 3
     g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("site_id")).agg(
-        F.collect_list(F.struct(F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("pk"), F.col("l_linenumber").alias("target"))).alias("c")
+        F.collect_list(F.struct(F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("target"))).alias("c"), F.min("l_partkey").alias("s")
     )
-    ids = F.transform(F.slice(F.filter(F.array_sort("c"), lambda x: ~x["target"].eqNullSafe(F.lit(1))), 1, 2), lambda x: x["pk"])
-    return g.select("site_id", ids.alias("others")).where(F.size("others") > 0)
+    others, ambiguous = rs.alternatives(F.col("c"), F.col("s"), F.when(k == 0, "likely").when(k == 1, "ambiguous").otherwise("proven"), F.col("site_id") % 7 == 0)
+    return g.select("site_id", others.alias("alternatives"), ambiguous.alias("ambiguous"))
 
 
 @query("WITH " + _SITES + ", g AS (SELECT rule, ord AS grp, bool_and(site_id%1000<>0) AS ok FROM sites GROUP BY 1,2), s AS (SELECT rule, count(*) AS n_groups, count(*) FILTER (NOT ok) AS wrong FROM g GROUP BY 1) SELECT rule, n_groups, wrong, (wrong=0 AND n_groups>=299) AS certified FROM s")
@@ -166,9 +174,14 @@ def maintain_queue_upsert(spark, d):
     return mt.queue_upsert(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_type", "position")
 
 
-@query("""WITH g AS (SELECT project_id AS file, min(commit_seq) AS p, count(*) AS n, array_to_string(list_sort(list(DISTINCT change_kind)),',') AS s FROM file_changes GROUP BY 1) SELECT file, row_number() OVER (ORDER BY p, n DESC, s, file) AS position FROM g""")
+@query("WITH " + _SITES + """, r AS (SELECT caller % 500 AS file, rule, CASE WHEN stale OR verification = 'contradicted' THEN 0 WHEN cls = 'likely' THEN 1 WHEN cls = 'proven' THEN 2 ELSE 0 END AS p FROM sites WHERE cls IN ('likely', 'proven') AND caller % 5 <> 1),
+m AS (SELECT file, min(p) AS p FROM r GROUP BY 1), g AS (SELECT file, p, array_to_string(list_sort(list(DISTINCT rule)), chr(1)) AS s FROM r JOIN m USING (file, p) GROUP BY 1, 2),
+q AS (SELECT p_partkey % 500 AS file, p_brand AS commit_sha, p_partkey AS idx FROM part)
+SELECT file, commit_sha, idx, row_number() OVER (ORDER BY coalesce(p, 0), coalesce(s, ''), file, commit_sha, idx) AS position FROM q LEFT JOIN g USING (file)""")
 def maintain_queue_order(spark, d):
-    return mt.queue_order(table(spark, d, "file_changes").select(F.col("project_id").alias("file"), F.col("commit_seq").alias("priority"), F.col("change_kind").alias("signature")))
+    r = sites(spark, d).where("cls IN ('likely', 'proven') AND caller % 5 <> 1").select((F.col("caller") % 500).alias("file"), "cls", "stale", "verification", F.col("rule").alias("signature"))
+    q = table(spark, d, "part").select((F.col("p_partkey") % 500).alias("file"), F.col("p_brand").alias("commit_sha"), F.col("p_partkey").alias("idx"))
+    return mt.queue_order(q, r)
 
 
 @query("""WITH f AS (SELECT user_id AS key, event_id AS seq, event_type='purchase' AS ok FROM events), o AS (SELECT key, max(seq) FILTER (ok) AS a FROM f GROUP BY 1), b AS (SELECT f.key FROM f JOIN o USING (key) WHERE NOT f.ok AND f.seq>coalesce(a,-1) GROUP BY 1 HAVING count(*)>=3) SELECT DISTINCT user_id AS key FROM events WHERE user_id NOT IN (SELECT key FROM b)""")
@@ -197,11 +210,11 @@ def maintain_trigger(spark, d):
     return mt.triggered(p)
 
 
-@query("""WITH p AS (SELECT source AS grp, doc_id AS id, n_chars%97 AS confidence, least(length(text),500) AS size FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL), u AS (SELECT *, sum(size) OVER (PARTITION BY grp ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING) AS upto FROM p)
-SELECT grp, id, size, upto<=8000 AS kept FROM u""")
+@query("""WITH p AS (SELECT source AS grp, doc_id AS id, n_chars%97 AS confidence, coalesce(doc_kind,'') AS title, 6+length(coalesce(lang,'node'))+length(coalesce(doc_kind,''))+least(length(coalesce(text,'')),500) AS size FROM documents WHERE coalesce(n_chars%97,1)>=3),
+u AS (SELECT *, sum(size) OVER (PARTITION BY grp ORDER BY coalesce(confidence,0) DESC, title, id ROWS UNBOUNDED PRECEDING) AS upto FROM p) SELECT grp, id, size, upto<=8000 AS kept FROM u""")
 def maintain_budget_prefix(spark, d):
-    p = table(spark, d, "documents").where("text IS NOT NULL AND n_chars IS NOT NULL").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), (F.col("n_chars") % 97).alias("confidence"), "text")
-    return mt.budget_prefix(p)
+    p = table(spark, d, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), (F.col("n_chars") % 97).cast("double").alias("confidence"), F.col("lang").alias("node_type"), F.coalesce("doc_kind", F.lit("")).alias("title"), "text")
+    return mt.budget_prefix(p, least_confidence=3.0).withColumn("size", F.col("size").cast("long"))
 
 
 @query("SELECT grp, id FROM (SELECT source AS grp, doc_id AS id, row_number() OVER (PARTITION BY source, doc_kind, substr(text,1,200) ORDER BY n_chars DESC, doc_id) AS i FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL) WHERE i=1")
@@ -230,14 +243,19 @@ def maintain_health(spark, d):
     return mt.health(m("coverage", "l_quantity > 30").unionAll(m("resolution", "l_quantity > 40")).unionAll(none))
 
 
-@query("""SELECT DISTINCT decision_id FROM decisions WHERE l2_node_key IN (SELECT source_key FROM graph_edges) AND content_hash NOT IN (SELECT lower(h) FROM (SELECT unnest(synced_content_hashes) AS h FROM sync_states) WHERE h IS NOT NULL)""")
+@query("""SELECT DISTINCT decision_id FROM decisions WHERE l2_node_key IN (SELECT string_split(target_key, '#')[1] FROM graph_edges UNION SELECT string_split(source_key, '#')[1] FROM graph_edges) AND content_hash IS NOT NULL AND content_hash NOT IN (SELECT lower(h) FROM (SELECT unnest(synced_content_hashes) AS h FROM sync_states) WHERE h IS NOT NULL)
+UNION SELECT DISTINCT decision_id FROM decisions WHERE decision_id % 3 = 0 AND content_hash IS NOT NULL AND content_hash NOT IN (SELECT lower(h) FROM (SELECT unnest(synced_content_hashes) AS h FROM sync_states) WHERE h IS NOT NULL)""")
 def maintain_publish(spark, d):
-    ch = table(spark, d, "graph_edges").select(F.col("source_key").alias("node_key"))
-    dec = table(spark, d, "decisions").where("content_hash IS NOT NULL").select("decision_id", F.col("l2_node_key").alias("node_key"), F.col("content_hash").alias("hash"))
+    e, all_dec = table(spark, d, "graph_edges"), table(spark, d, "decisions")
+    ch = e.select(F.explode(F.array("source_key", "target_key")).alias("k")).select(F.substring_index("k", "#", 1).alias("node_key"))
+    dec = all_dec.where("content_hash IS NOT NULL").select("decision_id", F.when(F.col("decision_id") % 3 == 0, "changed").otherwise(F.col("l2_node_key")).alias("node_key"), F.col("content_hash").alias("hash"))
+    both = dec.unionByName(all_dec.where("content_hash IS NOT NULL").select("decision_id", F.col("l2_node_key").alias("node_key"), F.col("content_hash").alias("hash")))
     sy = table(spark, d, "sync_states").select(F.explode("synced_content_hashes").alias("h")).select(F.lower("h").alias("hash"))
-    return mt.publishable(ch, dec, sy).select("decision_id").distinct()
+    return mt.publishable(ch.unionByName(spark.createDataFrame([("changed",)], "node_key string")), both, sy).select("decision_id").distinct()
 
 
-@query("SELECT domain, count(*) AS n FROM (SELECT CASE WHEN string_split(file_path,'/')[1] IN ('packages','apps','libs','lib','src') AND len(string_split(file_path,'/'))>2 THEN string_split(file_path,'/')[1]||'/'||string_split(file_path,'/')[2] WHEN len(string_split(file_path,'/'))>1 THEN string_split(file_path,'/')[1] ELSE '(root)' END AS domain FROM file_changes) GROUP BY 1 ORDER BY n DESC, domain LIMIT 5")
+@query("""WITH c AS (SELECT project_id, commit_seq, string_split(trim(file_path),'/') AS p FROM file_changes WHERE project_id IS NOT NULL AND commit_seq IS NOT NULL), l AS (SELECT project_id, commit_seq, row_number() OVER (PARTITION BY project_id ORDER BY commit_seq DESC) AS i FROM (SELECT DISTINCT project_id, commit_seq FROM c)),
+x AS (SELECT project_id, CASE WHEN len(p)<=1 OR p[1] LIKE '.%' OR p[1] IN ('node_modules','dist','build','docs','test','tests','scripts') THEN NULL ELSE (SELECT CASE WHEN x LIKE '%.%' OR x IN ('src','lib','app') THEN NULL ELSE x END FROM (SELECT CASE WHEN p[1]='src' THEN p[2] WHEN len(p)>3 AND p[1] IN ('packages','artifacts','crates') AND p[3]='src' THEN p[2] ELSE p[1] END AS x)) END AS domain FROM c JOIN l USING (project_id, commit_seq) WHERE i <= 100), n AS (SELECT project_id, domain, count(*) AS n FROM x WHERE domain IS NOT NULL GROUP BY 1, 2)
+SELECT project_id, domain, n FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, domain) AS i FROM n) WHERE i <= 5""")
 def maintain_hotspots(spark, d):
-    return mt.hotspots(table(spark, d, "file_changes"), text.domain(F.col("file_path")))
+    return mt.hotspots(table(spark, d, "file_changes"), text.domain(F.col("file_path")), "project_id", "commit_seq")

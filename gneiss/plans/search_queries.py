@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     return add
 
 
-_STOP = ",".join(f"'{w}'" for w in text.STOP_WORDS)
+_STOP = "'a','an','and','are','can','do','does','for','from','how','i','in','is','it','me','of','on','or','show','that','the','this','to','what','when','where','which','who','why','with'"
 
 
 @query(f"SELECT item_id, list_distinct_ordered AS keywords FROM (SELECT item_id, list_filter(list_filter(string_split_regex(text, '[^A-Za-z0-9_./-]+'), lambda x: x <> '' AND lower(x) NOT IN ({_STOP})), lambda x, i: list_position(list_filter(string_split_regex(text, '[^A-Za-z0-9_./-]+'), lambda y: y <> '' AND lower(y) NOT IN ({_STOP})), x) = i) AS list_distinct_ordered FROM eval_items)")
@@ -78,13 +78,13 @@ def text_normalised(spark, d):
     return table(spark, d, "decisions").select("decision_id", text.normalised_title(F.col("title")).alias("title"), text.normalised_content(F.col("content")).alias("content"))
 
 
-@query(r"""WITH s AS (SELECT decision_id, trim(title) AS t, lower(regexp_extract(title,'^([A-Za-z]+)(?:\([^)]*\))?!?:\s',1)) AS y FROM decisions) SELECT decision_id, nullif(y,'') AS type,
-(length(t)>=10 AND NOT regexp_matches(t,'(?i)^(wip|fixup!|squash!|merge (branch|pull request|remote)|bump |update dependencies|typo|initial commit)') AND y NOT IN ('chore','style','test','tests','ci','build','docs','doc')) AS keep FROM s""")
+@query(r"""WITH s AS (SELECT doc_id, trim(string_split(text, chr(10))[1], chr(32)||chr(9)||chr(13)||chr(11)||chr(12)) AS t FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, t, lower(regexp_extract(t,'^([A-Za-z]+)(\([^)]*\))?!?:',1)) AS y FROM s)
+SELECT doc_id, nullif(y,'') AS type, (length(regexp_replace(t,'^[A-Za-z]+(\([^)]*\))?!?:\s*',''))>=10 AND NOT regexp_matches(t,'^(wip|fixup!|squash!|typo|lint|format|merge branch)','i') AND y NOT IN ('chore','style','ci','build','docs','test')) AS keep FROM y""")
 def text_commit_filter(spark, d):
-    return table(spark, d, "decisions").select("decision_id", text.commit_type(F.col("title")).alias("type"), text.worth_reading(F.col("title")).alias("keep"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.commit_type(F.col("text")).alias("type"), text.worth_reading(F.col("text")).alias("keep"))
 
 
-@query("""SELECT change_id, CASE WHEN string_split(file_path,'/')[1] IN ('packages','apps','libs','lib','src') AND len(string_split(file_path,'/'))>2 THEN string_split(file_path,'/')[1]||'/'||string_split(file_path,'/')[2] WHEN len(string_split(file_path,'/'))>1 THEN string_split(file_path,'/')[1] ELSE '(root)' END AS domain FROM file_changes""")
+@query("""WITH f AS (SELECT change_id, string_split(trim(file_path),'/') AS p FROM file_changes) SELECT change_id, CASE WHEN len(p)<=1 OR p[1] LIKE '.%' OR p[1] IN ('node_modules','dist','build','docs','test','tests','scripts') THEN NULL ELSE (SELECT CASE WHEN x LIKE '%.%' OR x IN ('src','lib','app') THEN NULL ELSE x END FROM (SELECT CASE WHEN p[1]='src' THEN p[2] WHEN len(p)>3 AND p[1] IN ('packages','artifacts','crates') AND p[3]='src' THEN p[2] ELSE p[1] END AS x)) END AS domain FROM f""")
 def text_domain(spark, d):
     return table(spark, d, "file_changes").select("change_id", text.domain(F.col("file_path")).alias("domain"))
 
