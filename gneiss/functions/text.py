@@ -49,6 +49,25 @@ def call_site_key(*parts: Column) -> Column:
     return F.concat(F.lit("call-site:v1:"), F.sha2(F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256))
 
 
+def candidate_id(key: Column) -> Column:
+    """Id of a candidate: tierA: and the first 16 digits of the hash of its key."""
+    return F.concat(F.lit("tierA:"), F.substring(F.sha2(key, 256), 1, 16))
+
+
+def fragment_key(lines: Column, line: Column, callee: Column, radius: int = 2) -> Column:
+    """Hash of the callee and the lines around a line (from 0 on), without white space, as a JSON array of both."""
+    start = F.greatest(line - radius, F.lit(0))
+    window = F.transform(F.slice(lines, start + 1, line + radius + 1 - start), lambda x: F.regexp_replace(x, r"\s+", ""))
+    name = F.regexp_extract(F.to_json(F.array(callee)), r"^\[(.*)\]$", 1)
+    return F.sha2(F.concat(F.lit("["), name, F.lit(","), F.to_json(window), F.lit("]")), 256)
+
+
+def canonical_hash(*fields: Column, names: list[str]) -> Column:
+    """Hash of a JSON object of the fields with sorted names; nulls are written."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return F.sha2(F.to_json(F.struct(*[fields[i].alias(names[i]) for i in order]), {"ignoreNullFields": "false"}), 256)
+
+
 def canary_bucket(key: Column) -> Column:
     """First four digest bytes as a fraction of 2^32."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

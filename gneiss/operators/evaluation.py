@@ -199,3 +199,65 @@ def decide(response_ok: Column, threshold: Column, top: Column, n_candidates: Co
         F.when(~F.coalesce(response_ok, F.lit(False)) | threshold.isNull(), "verify").when(top >= threshold, "commit")
         .when((n_candidates == 0) & (unknown > verify), "unknown").otherwise("verify")
     )
+
+
+def exclusion_reason(positives: Column, negatives: Column, review: Column, oracle: Column) -> Column:
+    """Why a label is not trusted, null if it is; the first rule that holds decides. Null lists are empty."""
+    empty = F.array().cast("array<string>")
+    p, n = F.coalesce(positives, empty), F.coalesce(negatives, empty)
+    return (
+        F.when(F.arrays_overlap(F.array_compact(p), F.array_compact(n)) | (F.coalesce(review, F.lit("")) == "conflict"), "label-conflict")
+        .when(F.coalesce(review, F.lit("")) != "confirmed", "review-status-not-confirmed").when(F.coalesce(oracle, F.lit("")) != "resolved", "oracle-not-resolved")
+        .when(F.size(p) == 0, "empty-positive-target-set")
+    )
+
+
+def eligible(reason: Column, candidate_miss: Column, status: Column, score: Column) -> Column:
+    """Whether a scored candidate may fit a calibration: trusted label, no candidate missed, answered, a finite score in [0, 1]."""
+    usable = score.isNotNull() & ~F.isnan(score) & score.between(0, 1)
+    return F.coalesce(reason.isNull() & ~F.coalesce(candidate_miss, F.lit(False)) & (status == "ok") & usable, F.lit(False))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same elements; null if either is null."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def groups_by_split(rows: DataFrame) -> DataFrame:
+    """(split, n, groups, families) of (split, grp, family): distinct ones of each split."""
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("grp").alias("groups"), F.countDistinct("family").alias("families"))
+
+
+def out_of_fold(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((groups, exact_groups), (family, commits, exact)) of committed rows (grp, family, exact).
+
+    A group is exact only if all its rows are; it counts once in the pool, and once in each family that it touches.
+    """
+    exact = rows.groupBy("grp").agg(F.bool_and("exact").alias("exact"))
+    pool = exact.agg(F.count(F.lit(1)).alias("groups"), F.count_if("exact").alias("exact_groups"))
+    touched = rows.select("grp", "family").distinct().join(exact, "grp")
+    return pool, touched.groupBy("family").agg(F.count(F.lit(1)).alias("commits"), F.count_if("exact").alias("exact"))
+
+
+def family_gate(families: DataFrame, target: float, least_commits: int = 200) -> DataFrame:
+    """(passes,): whether every family with least_commits or more commits reaches the target; smaller ones are ignored."""
+    ok = (F.col("commits") < least_commits) | (F.col("exact") / F.col("commits") >= target)
+    return families.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("passes"))
+
+
+def select_threshold(counts: DataFrame, target: float) -> DataFrame:
+    """(kind, threshold, bound) of counts (threshold, bound, gate): the selected threshold, the lowest whose bound reaches the target and
+    whose gate passes, if there is one; and always the best bound (the lowest threshold of equal ones), the strictest and the least strict."""
+    row = lambda kind, df, by: df.agg(F.min_by(F.struct("threshold", "bound"), by).alias("r")).select(F.lit(kind).alias("kind"), "r.threshold", "r.bound")
+    sure = counts.where((F.col("bound") >= target) & F.col("gate"))
+    best = F.struct((-F.coalesce("bound", F.lit(-1.0))).alias("b"), "threshold")
+    return (
+        row("selected", sure, F.col("threshold")).unionByName(row("best", counts, best)).unionByName(row("strictest", counts, -F.col("threshold")))
+        .unionByName(row("least-strict", counts, F.col("threshold"))).where("threshold IS NOT NULL")
+    )
+
+
+def slices(rows: DataFrame, keys: Column, dimension: DataFrame) -> DataFrame:
+    """(slice, n, positives): rows of each slice that their keys name; slices of the dimension without rows have zeros."""
+    n = rows.select(F.explode(F.array_distinct(keys)).alias("slice"), "positive").groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.count_if("positive").alias("positives"))
+    return dimension.select("slice").distinct().join(n, "slice", "left").select("slice", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("positives", F.lit(0)).alias("positives"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.functions import stats
+from gneiss.functions import stats, text
 from gneiss.operators import evaluation as ev
 from gneiss.sources.tables import table
 
@@ -161,3 +161,56 @@ def eval_decisions(spark, d):
     return li.select("l_orderkey", "l_linenumber", ev.decide(
         F.col("l_tax") != 0, F.when(F.col("l_returnflag") != "R", F.lit(0.06)), F.col("l_discount"), F.when(F.col("l_quantity") < 3, 0).otherwise(1), F.col("l_tax"), F.col("l_discount")
     ).alias("decision"))
+
+
+@query("""SELECT DISTINCT sample_id, CASE WHEN list_has_any(coalesce(positive_target_ids, []), coalesce(negative_target_ids, [])) OR review_status = 'conflict' THEN 'label-conflict' WHEN coalesce(review_status, '') <> 'confirmed' THEN 'review-status-not-confirmed'
+ WHEN coalesce(oracle_status, '') <> 'resolved' THEN 'oracle-not-resolved' WHEN len(coalesce(positive_target_ids, [])) = 0 THEN 'empty-positive-target-set' END AS reason FROM corpus_samples""")
+def eval_exclusions(spark, d):
+    c = table(spark, d, "corpus_samples")
+    return c.select("sample_id", ev.exclusion_reason(F.col("positive_target_ids"), F.col("negative_target_ids"), F.col("review_status"), F.col("oracle_status")).alias("reason")).distinct()
+
+
+@query("""SELECT DISTINCT sample_id, list_sort(list_distinct(oracle_target_ids)) = list_sort(list_distinct(positive_target_ids)) AS same, 'tierA:' || substr(sha256(callee_name), 1, 16) AS id FROM corpus_samples WHERE oracle_target_ids IS NOT NULL AND positive_target_ids IS NOT NULL AND len(list_filter(oracle_target_ids, lambda x: x IS NULL)) = 0""")
+def eval_exact_sets(spark, d):
+    c = table(spark, d, "corpus_samples").where("oracle_target_ids IS NOT NULL AND positive_target_ids IS NOT NULL AND NOT exists(oracle_target_ids, x -> x IS NULL)")
+    return c.select("sample_id", ev.same_set(F.col("oracle_target_ids"), F.col("positive_target_ids")).alias("same"), text.candidate_id(F.col("callee_name")).alias("id")).distinct()
+
+
+@query("SELECT split, count(*) AS n, count(DISTINCT duplicate_group) AS groups, count(DISTINCT repo_family) AS families FROM corpus_samples GROUP BY 1")
+def eval_groups_by_split(spark, d):
+    c = table(spark, d, "corpus_samples")
+    return ev.groups_by_split(c.select("split", F.col("duplicate_group").alias("grp"), F.col("repo_family").alias("family")))
+
+
+_OOF = "r AS (SELECT l_orderkey AS grp, l_returnflag || l_linestatus AS family, l_quantity > 2 AS exact FROM lineitem), g AS (SELECT grp, bool_and(exact) AS exact FROM r GROUP BY 1)"
+
+
+def _committed(spark, d):
+    return table(spark, d, "lineitem").selectExpr("l_orderkey AS grp", "concat(l_returnflag, l_linestatus) AS family", "l_quantity > 2 AS exact")
+
+
+@query("WITH " + _OOF + " SELECT 'pool' AS family, count(*) AS commits, count(*) FILTER (exact) AS exact FROM g UNION ALL SELECT family, count(*), count(*) FILTER (exact) FROM (SELECT DISTINCT grp, family FROM r) JOIN g USING (grp) GROUP BY 1")
+def eval_out_of_fold(spark, d):
+    pool, families = ev.out_of_fold(_committed(spark, d))
+    return pool.select(F.lit("pool").alias("family"), F.col("groups").alias("commits"), F.col("exact_groups").alias("exact")).unionByName(families)
+
+
+@query("WITH " + _OOF + ", f AS (SELECT family, count(*) AS n, count(*) FILTER (exact) AS k FROM (SELECT DISTINCT grp, family FROM r) JOIN g USING (grp) GROUP BY 1) SELECT bool_and(n < 200 OR k / n >= 0.85) AS passes FROM f")
+def eval_family_gate(spark, d):
+    return ev.family_gate(ev.out_of_fold(_committed(spark, d))[1], 0.85)
+
+
+@query("""WITH c AS (SELECT p_size::DOUBLE AS threshold, avg(p_partkey % 2) AS bound, min(p_partkey) % 2 = 0 AS gate FROM part GROUP BY 1), s AS (SELECT * FROM c WHERE bound >= 0.5 AND gate)
+SELECT 'selected' AS kind, min(threshold) AS threshold, min_by(bound, threshold) AS bound FROM s HAVING count(*) > 0 UNION ALL SELECT 'best', t, b FROM (SELECT threshold AS t, bound AS b FROM c ORDER BY bound DESC, threshold LIMIT 1)
+UNION ALL SELECT 'strictest', max(threshold), max_by(bound, threshold) FROM c UNION ALL SELECT 'least-strict', min(threshold), min_by(bound, threshold) FROM c""")
+def eval_select_threshold(spark, d):
+    c = table(spark, d, "part").groupBy(F.col("p_size").cast("double").alias("threshold")).agg(F.avg(F.col("p_partkey") % 2).alias("bound"), (F.min("p_partkey") % 2 == 0).alias("gate"))
+    return ev.select_threshold(c, 0.5)
+
+
+@query("""WITH k AS (SELECT unnest(list_distinct([p_brand, 'size' || (p_size % 3)])) AS slice, p_partkey % 2 = 0 AS positive FROM part), d AS (SELECT DISTINCT p_brand AS slice FROM part UNION SELECT unnest(['size0', 'size1', 'size2', 'size3']))
+SELECT d.slice, count(k.slice) AS n, count(*) FILTER (positive) AS positives FROM d LEFT JOIN k USING (slice) GROUP BY 1""")
+def eval_slices(spark, d):
+    p = table(spark, d, "part")
+    dimension = p.select(F.col("p_brand").alias("slice")).union(spark.createDataFrame([(f"size{i}",) for i in range(4)], "slice string"))
+    return ev.slices(p.withColumn("positive", F.col("p_partkey") % 2 == 0), F.array("p_brand", F.concat(F.lit("size"), (F.col("p_size") % 3).cast("string"))), dimension)

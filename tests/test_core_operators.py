@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats, text
-from gneiss.operators import components, discovery, evaluation, graph, impact, maintenance, resolution, search
+from gneiss.operators import components, context, discovery, evaluation, graph, impact, maintenance, records, resolution, search
 from gneiss.sources import snapshot
 
 
@@ -125,8 +125,60 @@ def test_snapshot_and_cards_round_trip(spark, tmp_path):
 
 
 def test_prefix_budget_stops_at_first_overflow(spark):
-    p = spark.createDataFrame([("g", 1, 3.0, "x" * 5), ("g", 2, 2.0, "x" * 9), ("g", 3, 1.0, "x")], "grp string, id int, confidence double, text string")
-    assert {r["id"]: r["kept"] for r in maintenance.budget_prefix(p, most=10).collect()} == {1: True, 2: False, 3: False}
+    rows = [("g", 1, "node", "a", 3.0, "x" * 5), ("g", 2, "node", "b", 2.0, "x" * 90), ("g", 3, None, "c", 1.0, "x"), (None, 4, None, None, None, None), ("g", 5, "node", "z", 0.1, "")]
+    p = spark.createDataFrame(rows, "grp string, id int, node_type string, title string, confidence double, text string")
+    got = {r["id"]: (r["size"], r["kept"]) for r in maintenance.budget_prefix(p, most=60, least_confidence=0.5).collect()}
+    assert got == {1: (16, True), 2: (101, False), 3: (12, False), 4: (10, True)}  # "- [node] a: xxxxx" has 16 characters
+
+
+def test_cases_of_text_rules(spark):
+    one = lambda value, f: spark.createDataFrame([(value,)], "c string").select(f(F.col("c")).alias("x")).first()["x"]
+    kept = {"feat: add it": False, "feat(core)!: add the whole thing": True, "add some cache": True, "docs: explain the whole thing": False, "tests: explain the whole thing": True, "Lint everything in the tree": False,
+            "short": False, "bump the version of things": True, "fix: x\nlong body of the message": False, "": False}
+    assert {m: one(m, text.worth_reading) for m in kept} == kept
+    domains = {"src/auth/x.ts": "auth", "packages/cli/src/mcp/a.ts": "cli", "core/src/ingestion/a.ts": "core", "README.md": None, ".github/x.yml": None, "docs/a/b.md": None, "lib/x.ts": None, "src/a.ts": None, "tools/x.ts": "tools"}
+    assert {p: one(p, text.domain) for p in domains} == domains
+    assert one("show me who can call Foo.bar and foo.bar, was it?", text.keywords) == ["call", "Foo.bar", "foo.bar", "was"]
+
+
+def test_trust_and_alternatives(spark):
+    rows = [
+        (1, "proven", "t", False, "none", None, True), (2, "proven", "t", False, "contradicted", "u", False), (3, "likely", "t", False, "none", None, False), (4, "likely", "t", False, "verified", "t", True),
+        (5, "likely", "t", False, "verified", "u", False), (6, "proven", "t", True, "verified", "t", False), (7, "ambiguous", None, None, None, None, False),
+    ]
+    df = spark.createDataFrame(rows, "id int, cls string, selected string, stale boolean, verification string, verified string, want boolean")
+    got = df.select("want", resolution.trusted(df.cls, df.selected, df.stale, df.verification, df.verified).alias("ok")).collect()
+    assert all(r["ok"] == r["want"] for r in got)
+    c = spark.createDataFrame([([(2, "c"), (0, "a"), (1, "b"), (3, "d")],)], "c array<struct<ordinal:int,target:string>>")
+    pick = lambda cls, stale=False: tuple(c.select(*resolution.alternatives(c.c, F.lit("a"), F.lit(cls), F.lit(stale))).first())
+    assert pick("likely") == (["b", "c"], []) and pick("ambiguous") == ([], ["a", "b", "c"]) and pick("proven") == ([], []) and pick("likely", True) == ([], [])
+
+
+def test_queue_order_by_urgency(spark):
+    q = spark.createDataFrame([("b", "s1", 0), ("a", "s1", 1), ("c", "s1", 2), ("none", "s1", 3), ("a", "s0", 4)], "file string, commit_sha string, idx int")
+    r = [("a", "proven", False, None, "z"), ("b", "likely", False, None, "y"), ("b", "proven", False, None, "x"), ("c", "proven", True, None, "k")]
+    got = maintenance.queue_order(q, spark.createDataFrame(r, "file string, cls string, stale boolean, verification string, signature string"))
+    assert [r["idx"] for r in got.orderBy("position").collect()] == [3, 2, 0, 4, 1]
+
+
+def test_ordinals_by_ranges_and_one_class_models(spark):
+    df = spark.range(500).selectExpr("(id * 7919) % 500 AS k", "id AS extra")
+    assert [r["k"] for r in maintenance.numbered(df, ["k"]).orderBy("position").collect()] == list(range(500))
+    assert maintenance.numbered(df.limit(0), ["k"]).count() == 0
+    rows = spark.createDataFrame([("m", 0.1, False), ("m", 0.9, True), ("n", 0.4, True), ("n", 0.5, True)], "model string, score double, positive boolean")
+    assert {(r["model"], r["fitted"] is None) for r in evaluation.isotonic_fit(rows, "model").collect()} == {("m", False), ("n", True)}
+
+
+def test_records_of_odd_rows(spark):
+    nodes = spark.createDataFrame([("a", '["x","y"]', 1), ("b", "[bad", 1), ("c", None, 1), ("d", '["z#1"]', 1), (None, '["x"]', 1)], "node_key string, patterns string, path int")
+    active = spark.createDataFrame([("x",), ("z#1",), (None,)], "path string")
+    assert {r[0] for r in records.nodes_for_files(nodes, active).collect()} == {"a", "d", None}
+    assert {r[0] for r in records.stale_nodes(nodes.where("node_key IS NOT NULL"), active).collect()} == {"b", "c"}
+    keys = spark.createDataFrame([("z#1#f",), ("z#2",), ("x",), (None,)], "node_key string")
+    assert {r[0] for r in records.key_in_files(keys, active).collect()} == {"z#1#f", "x"}
+    spans = spark.createDataFrame([("p", "o", 1, 9), ("p", "i", 2, 4), ("p", "j", 2, 4), ("q", "i", 2, 4)], "path string, symbol string, start_line int, end_line int")
+    assert {(r["path"], r["symbol"]): r["parent"] for r in records.lexical_parents(spans).collect()} == {("p", "o"): None, ("p", "i"): "o", ("p", "j"): "o", ("q", "i"): None}
+    assert context.normal_limit(-1) == context.normal_limit(2.5) == context.normal_limit(None) == 10 and context.normal_limit(3) == 3
 
 
 def test_registry_is_complete():
