@@ -134,7 +134,7 @@ def publish_items(source: VersionedTable, decisions: DataFrame, sync_states: Dat
 def pending_items(decisions: DataFrame, sync_states: DataFrame, file_changes: DataFrame, pending_batches: DataFrame) -> DataFrame:
     """(project_id, item_kind, item_key) of everything still to be processed: the output of one incremental run."""
     spark = decisions.sparkSession
-    root = Scratch(spark, "versions").root
+    root = Scratch(spark, "versions").folder()
     source, sink = VersionedTable(spark, f"{root}/source", ITEM), VersionedTable(spark, f"{root}/pending", ITEM)
     covered = publish_items(source, decisions, sync_states, file_changes, pending_batches)
     sink.commit(processed={"items": covered})

@@ -43,7 +43,8 @@ class Scratch:
 
     keep() writes a DataFrame and reads it back, so that what follows neither
     recomputes nor depends on shuffle files of lost executors. free() deletes
-    tables that nothing reads any more.
+    tables that nothing reads any more; what is left goes when the driver ends,
+    as results may still read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -52,7 +53,17 @@ class Scratch:
         self.n = 0
         self.paths: dict[int, str] = {}
 
+    def folder(self) -> str:
+        """The folder, made, and deleted when the driver's JVM ends."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        return self.root
+
     def keep(self, df: DataFrame) -> DataFrame:
+        if not self.n:
+            self.folder()
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
