@@ -97,7 +97,7 @@ def text_escape(spark, d):
 
 @query()
 def text_stems(spark, d):
-    words = table(spark, d, "documents").where("lang = 'en'").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    words = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", text.porter("word").alias("stem"))
 
 
