@@ -2,21 +2,22 @@
 
 Sentences are transactions of words. Rules from word sets to areas are mined by
 parallel frequent-pattern growth in ROUNDS rounds: first from the labelled
-examples, then from the sentences of documents that the rules so far give to one
-area clearly, so that words the examples lack are learnt from their company.
+examples, then from the sentences of all documents that the rules so far give to
+one area clearly, so that words the examples lack are learnt from their company.
 Documents with hardly any evidence count as a class of their own there, so that
 the common words of a language, or of an area, that the rules don't know yet are
-not taken for signs of another (a bounded sample of about FIT_DOCS documents,
-chosen by hash, is labelled this way; it only fits the rules).
-
-Growth: the words that are frequent are counted first; each sentence, cut to
-them, then goes to the groups of its words, as the prefix up to the last word of
-the group; a group grows the sets of up to MAX_ITEMS words that end with its
-words from these conditional bases. Supports stay in DataFrames, where the
-confidence, normalised by the size of the areas, is computed and rules that a
-shorter one makes redundant are pruned. Frequent means LEAST_SHARE of the
-sentences, so there are at most 1/LEAST_SHARE frequent words a word of the
-average sentence, and only they and the final rules are ever broadcast.
+not taken for signs of another. Each document is cut into sentences once; the
+rounds and the final scoring read these.
+
+Growth: the words that are frequent are counted first. Each batch then adds up,
+for each frequent word, the frequent words of its conditional base (those before
+it in its sentences) by area; the sums of these over all batches are the supports
+of the sets of MAX_ITEMS words, where growth ends. So no task holds the base of a
+word whole. Supports stay in DataFrames, where the confidence, normalised by the
+size of the areas, is computed and rules that a shorter one makes redundant are
+pruned. Frequent means LEAST_SHARE of the sentences, so there are at most
+1/LEAST_SHARE frequent words a word of the average sentence, and only they and
+the final rules are ever broadcast.
 
 Every sentence of every document is scored by the calibrated evidence (log odds)
 of its most specific matching rules, and a document is about each area that has
@@ -33,11 +34,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,6 @@ SHARE = 0.25
 LEAST_OF_ALL = 0.12
 EVIDENCE = 2.2
 WEAK_EVIDENCE = 0.6  # enough to label a sentence while rules are still being learnt
-FIT_DOCS = 10_000
 ROUNDS = 4
 UNKNOWN = "?"
 CLEAR = 0.75
@@ -56,7 +56,7 @@ WEAK = 0.6  # confidence of the rules of the first round, of which some rest on
 MAX_ITEMS = 2
 LEAST_SHARE = 1 / 20_000  # support of frequent words and word pairs, as a share of the sentences
 LEAST = 8  # but at least so many sentences
-GROUPS = 16
+PAIRS = 1 << 22  # pairs of words that are counted at once
 
 _SENTENCE = re.compile(r"[\n\r  ]+|(?<=[.?!;])\s+|(?<=[。？！])")
 _CODE = re.compile(
@@ -105,90 +105,145 @@ def sentences(text: str | None) -> list[tuple[str, ...]]:
 Rules = dict[tuple[str, ...], tuple[str, float]]
 
 
-Partners = dict[str, set[str]]
+def _flat(lines: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Sizes and elements of the lists of an array."""
+    return lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lines.flatten()
+
+
+def _codes(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Position of each word in the known ones, -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pairs(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of words of the same sentence, by the sentence of each word."""
+    at, step = np.arange(len(line)), 1
+    while len(at := at[: np.searchsorted(at, len(line) - step)]):
+        at = at[line[at + step] == line[at]]
+        yield at, at + step
+        step += 1
+
+
+def _tally(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often each occurs."""
+    found = pc.value_counts(pa.array(np.concatenate(codes)))
+    return found.field(0).to_numpy(), found.field(1).to_numpy()
+
+
+class Model:
+    """Rules as arrays, by which all sentences of a batch are scored at once."""
+
+    def __init__(self, rules: Rules):
+        self.areas = sorted({area for area, _ in rules.values()})
+        self.words = pa.array(sorted({w for k in rules for w in k}), pa.string())
+        at = {w: i for i, w in enumerate(self.words.to_pylist())}
+        number = {a: i for i, a in enumerate(self.areas)}
+        self.area = np.full(len(at), -1)
+        self.evidence = np.zeros(len(at))
+        for k, (area, e) in rules.items():
+            if len(k) == 1:
+                self.area[at[k[0]]], self.evidence[at[k[0]]] = number[area], e
+        # the rules of two words, the surest first
+        pairs = sorted((-e, at[k[0]], at[k[1]], number[area]) for k, (area, e) in rules.items() if len(k) > 1)
+        code = np.array([a * len(at) + b for _, a, b, _ in pairs], np.int64)
+        self.rank = np.argsort(code)
+        self.code = code[self.rank]
+        self.pair_area = np.array([area for *_, area in pairs], np.int64)
+        self.pair_evidence = np.array([-e for e, *_ in pairs], np.float64)
+        self.first, self.second = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        for _, a, b, _ in pairs:
+            self.first[a] = self.second[b] = True
+
+    def score(self, size: np.ndarray, words: pa.Array, least: float = EVIDENCE) -> np.ndarray:
+        """Area of each sentence (of sorted words), -1 for none; most specific rules first, each word used once."""
+        code = _codes(words, self.words)
+        known = np.flatnonzero(code >= 0)
+        code, line = code[known], np.repeat(np.arange(len(size)), size)[known]
+        used = np.zeros(len(code), bool)
+        lines, areas, evidence = [], [], []
+        a, b, rank = self._paired(code, line)
+        while len(a):  # the surest rule of each sentence, then of what is left
+            top = np.flatnonzero(np.concatenate([[True], line[a[1:]] != line[a[:-1]]]))
+            used[a[top]] = used[b[top]] = True
+            lines.append(line[a[top]])
+            areas.append(self.pair_area[rank[top]])
+            evidence.append(self.pair_evidence[rank[top]])
+            left = ~(used[a] | used[b])
+            a, b, rank = a[left], b[left], rank[left]
+        one = np.flatnonzero(~used & (self.area[code] >= 0))
+        lines, areas, evidence = [*lines, line[one]], [*areas, self.area[code[one]]], [*evidence, self.evidence[code[one]]]
+        n = len(self.areas)
+        total = np.bincount(np.concatenate(lines) * n + np.concatenate(areas), np.concatenate(evidence), len(size) * n).reshape(len(size), n)
+        area, each = total.argmax(axis=1), np.arange(len(size))
+        best = total[each, area]
+        total[each, area] = 0.0
+        return np.where((best >= least) & (best - total.max(axis=1) > 0.4), area, -1)
+
+    def _paired(self, code: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the words of matching rules of two words and the rule, by sentence, the surest first."""
+        some = np.flatnonzero(self.first[code] | self.second[code])
+        code, line = code[some], line[some]
+        found = [(some[:0], some[:0], self.rank[:0])]
+        for a, b in _pairs(line):
+            may = self.first[code[a]] & self.second[code[b]]
+            a, b = a[may], b[may]
+            want = code[a] * len(self.words) + code[b]
+            at = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+            hit = self.code[at] == want
+            found.append((some[a[hit]], some[b[hit]], self.rank[at[hit]]))
+        a, b, rank = (np.concatenate(x) for x in zip(*found))
+        line = line[np.searchsorted(some, a)]
+        order = np.lexsort((rank, line))
+        return a[order], b[order], rank[order]
+
+    def count(self, parts: pa.Array, least: float = EVIDENCE) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences of each document by area, and all its sentences."""
+        every, lines = _flat(parts)
+        area = self.score(*_flat(lines), least)
+        doc = np.repeat(np.arange(len(every)), every)[area >= 0]
+        n = len(self.areas)
+        return np.bincount(doc * n + area[area >= 0], minlength=len(every) * n).reshape(len(every), n), every
+
+
+def _words_by_area(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, area, n): sentences of a batch by word and area."""
+    for b in batches:
+        size, words = _flat(b.column("words"))
+        words, area = words.dictionary_encode(), b.column("area").dictionary_encode()
+        n = max(1, len(area.dictionary))
+        code, count = _tally([words.indices.to_numpy() * np.int64(n) + np.repeat(area.indices.to_numpy(), size)])
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code // n)), area.dictionary.take(pa.array(code % n)), pa.array(count)], ["w", "area", "n"])
+
+
+def _bases(transactions: DataFrame, frequent: list[str], areas: list[str]) -> DataFrame:
+    """(pair, area, n): for each frequent word j the words i before it in the sentences of a batch, pair being i * |frequent| + j."""
+    shared = transactions.sparkSession.sparkContext.broadcast((frequent, areas))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, names = (pa.array(x, pa.string()) for x in shared.value)
+        v, n = len(words), len(names)
+
+        def counted(codes: list[np.ndarray]) -> pa.RecordBatch:
+            code, count = _tally(codes)
+            return pa.RecordBatch.from_arrays([pa.array(code // n), pa.array(code % n), pa.array(count)], ["pair", "area", "n"])
 
-
-def partners(rules: Rules) -> Partners:
-    """First word of the rules of two words -> their second words."""
-    out: Partners = defaultdict(set)
-    for k in rules:
-        if len(k) > 1:
-            out[k[0]].add(k[1])
-    return dict(out)
-
-
-def score(words: tuple[str, ...], rules: Rules, paired: Partners, least: float = EVIDENCE) -> tuple[str | None, float]:
-    """Area of a sentence and its lead over the next; most specific rules first, each word used once."""
-    evidence: dict[str, float] = defaultdict(float)
-    used = set()
-    here = set(words)
-    found = [(a, b) for a in words if (with_a := paired.get(a)) and not with_a.isdisjoint(here) for b in with_a & here]
-    if found:
-        for e, a, b, area in sorted((-rules[p][1], *p, rules[p][0]) for p in found):
-            if a not in used and b not in used:
-                evidence[area] -= e
-                used.update((a, b))
-    for w in words:
-        if w not in used and (r := rules.get((w,))) is not None:
-            evidence[r[0]] += r[1]
-    if not evidence:
-        return None, 0.0
-    top = sorted(evidence.items(), key=lambda kv: (-kv[1], kv[0]))
-    lead = top[0][1] - (top[1][1] if len(top) > 1 else 0.0)
-    return (top[0][0], lead) if top[0][1] >= least and lead > 0.4 else (None, 0.0)
-
-
-def areas_of(parts: list[tuple[str, ...]], rules: Rules, paired: Partners, least: float = EVIDENCE) -> tuple[dict[str, int], int, int]:
-    """(sentences by area, sentences with evidence, all sentences)."""
-    by = Counter(a for a, _ in (score(p, rules, paired, least) for p in parts) if a)
-    return by, sum(by.values()), len(parts)
-
-
-def _prefixes(transactions: DataFrame, frequent: list[str]) -> DataFrame:
-    """(g, area, items): for each group of frequent words that a sentence has, its frequent words up to the last of the group."""
-    shared = transactions.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {w: i for i, w in enumerate(shared.value)}
         for b in batches:
-            groups, areas, items = [], [], []
-            for words, area in zip(b["words"], b["area"]):
-                found = sorted([i for w in words if (i := at.get(w)) is not None])
-                last = {i % GROUPS: n for n, i in enumerate(found)}
-                for g, n in last.items():
-                    if n:
-                        groups.append(g)
-                        areas.append(area)
-                        items.append(found[: n + 1])
-            yield pd.DataFrame({"g": groups, "area": areas, "items": items})
-
-    return transactions.mapInPandas(run, "g int, area string, items array<int>")
-
-
-def _grow(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """(i, j, area, n) of the frequent pairs that end with a word of the group: the conditional base of each j."""
-    g = int(pdf["g"].iloc[0])
-    names = sorted(pdf["area"].unique())
-    area = pdf["area"].map({a: k for k, a in enumerate(names)}).to_numpy()
-    size = pdf["items"].map(len).to_numpy()
-    codes = []
-    for n in np.unique(size):
-        rows = np.flatnonzero(size == n)
-        m = np.stack(pdf["items"].to_numpy()[rows]).astype(np.int64)
-        for j in range(1, n):
-            ends = m[:, j] % GROUPS == g
-            if ends.any():
-                before = m[ends, :j]
-                codes.append(((before * (1 << 31) + m[ends, j][:, None]) * len(names) + area[rows[ends]][:, None]).ravel())
-    if not codes:
-        return pd.DataFrame({"i": [], "j": [], "area": [], "n": []})
-    code, n = np.unique(np.concatenate(codes), return_counts=True)
-    pair = code // len(names)
-    starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    total = np.repeat(np.add.reduceat(n, starts), np.diff(np.concatenate([starts, [len(pair)]])))
-    keep = total >= least
-    code, n, pair = code[keep], n[keep], pair[keep]
-    return pd.DataFrame({"i": pair >> 31, "j": pair & ((1 << 31) - 1), "area": [names[k] for k in code % len(names)], "n": n})
+            size, found = _flat(b.column("words"))
+            code = _codes(found, words)
+            at = np.repeat(np.arange(len(size)), size)[code >= 0] * v + code[code >= 0]
+            at.sort()
+            line, code, area = at // v, at % v, _codes(b.column("area"), names)
+            codes, held = [], 0
+            for i, j in _pairs(line):
+                codes.append((code[i] * v + code[j]) * n + area[line[i]])
+                held += len(i)
+                if held >= PAIRS:
+                    yield counted(codes)
+                    codes, held = [], 0
+            if held:
+                yield counted(codes)
+
+    return transactions.select("words", "area").mapInArrow(run, "pair long, area long, n long")
 
 
 def mine(transactions: DataFrame, least: int, confidence: float = CONFIDENCE) -> tuple[Rules, set[str]]:
@@ -199,11 +254,17 @@ def mine(transactions: DataFrame, least: int, confidence: float = CONFIDENCE) ->
     if not total:
         return {}, set()
     scratch = Scratch(spark, "growth")
-    each = transactions.select(F.explode("words").alias("w"), "area").groupBy("w", "area").agg(F.count(F.lit(1)).alias("n"))
+    each = transactions.select("words", "area").mapInArrow(_words_by_area, "w string, area string, n long").groupBy("w", "area").agg(F.sum("n").alias("n"))
     every = each.groupBy("w").agg(F.sum("n").alias("all"), F.collect_list(F.struct("area", "n")).alias("by")).where(F.col("all") >= least)
     singles = scratch.keep(every.select("w", F.explode("by").alias("e")).select(F.array("w").alias("words"), "e.area", "e.n"))
     seen = sorted(r[0] for r in singles.select(F.col("words")[0]).distinct().collect())
-    grown = _prefixes(transactions, seen).groupBy("g").applyInPandas(lambda pdf: _grow(pdf, max(least, 3)), "i int, j int, area string, n long")
+    areas = sorted(sizes)
+    based = _bases(transactions, seen, areas).groupBy("pair", "area").agg(F.sum("n").alias("n"))
+    often = based.groupBy("pair").agg(F.sum("n").alias("all"), F.collect_list(F.struct("area", "n")).alias("by")).where(F.col("all") >= max(least, 3))
+    at = F.array(*[F.lit(a) for a in areas])
+    grown = often.select("pair", F.explode("by").alias("e")).select(
+        F.expr(f"CAST(pair DIV {max(1, len(seen))} AS INT)").alias("i"), (F.col("pair") % max(1, len(seen))).cast("int").alias("j"), at[F.col("e.area").cast("int")].alias("area"), "e.n"
+    )
     names = spark.createDataFrame(list(enumerate(seen)), "k int, w string") if seen else spark.createDataFrame([], "k int, w string")
     a, b = names.toDF("i", "wi"), names.toDF("j", "wj")
     pairs = grown.join(a, "i").join(b, "j").select(F.array("wi", "wj").alias("words"), "area", "n")
@@ -229,53 +290,48 @@ def mine(transactions: DataFrame, least: int, confidence: float = CONFIDENCE) ->
     return rules, set(seen)
 
 
-def learn(documents: DataFrame, examples: DataFrame, fit_docs: int = FIT_DOCS) -> Rules:
-    """The rules of all rounds."""
-    spark = documents.sparkSession
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, parts): the sentences of each document that has any."""
+    for b in batches:
+        parts = [sentences(t) for t in b.column("text").to_pylist()]
+        some = [i for i, p in enumerate(parts) if p]
+        lines = pa.array([parts[i] for i in some], pa.list_(pa.list_(pa.string())))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some, pa.int64())), lines], ["doc_id", "parts"])
+
+
+def learn(split: DataFrame, examples: DataFrame) -> Rules:
+    """The rules of all rounds, from (doc_id, parts) of all documents."""
+    spark = split.sparkSession
     rows = examples.select("text", "subject").where("text IS NOT NULL AND subject IS NOT NULL")
     schema = "words array<string>, area string"
     scratch = Scratch(spark, "subjects")
 
-    def label_given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label_given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(p, area) for t, area in zip(b["text"], b["subject"]) for p in sentences(t)]
-            yield pd.DataFrame(out, columns=["words", "area"])
+            out = [(p, area) for t, area in zip(b.column("text").to_pylist(), b.column("subject").to_pylist()) for p in sentences(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.list_(pa.string())), pa.array([a for _, a in out], pa.string())], ["words", "area"])
 
-    rules, _ = mine(scratch.keep(rows.mapInPandas(label_given, schema)), 1, WEAK)
+    rules, _ = mine(scratch.keep(rows.mapInArrow(label_given, schema)), 1, WEAK)
     if not rules:
         return {}
     taught = rules
-    n = documents.count()
-    rows = documents.where("text IS NOT NULL")
-    if n > fit_docs:
-        # a share of the 2^62 values of a hash, so that the sample has about the same size for any number of documents
-        rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(int((1 << 62) * fit_docs // n)))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"parts": [sentences(t) for t in b["text"]]})
-
-    split = rows.select("text").repartition(spark.sparkContext.defaultParallelism).mapInPandas(cut, "parts array<array<string>>")
-    sample = scratch.keep(split.where(F.size("parts") > 0))
     for turn in range(ROUNDS - 1):
         least = WEAK_EVIDENCE if turn < ROUNDS - 2 else 1.2
-        shared = spark.sparkContext.broadcast((rules, partners(rules)))
+        shared = spark.sparkContext.broadcast(Model(rules))
 
-        def label(batches: Iterator[pd.DataFrame], shared=shared, least=least) -> Iterator[pd.DataFrame]:
-            rules, paired = shared.value
+        def label(batches: Iterator[pa.RecordBatch], shared=shared, least=least) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            names = pa.array([*model.areas, UNKNOWN], pa.string())
             for b in batches:
-                out = []
-                for parts in b["parts"]:
-                    parts = [tuple(p) for p in parts]
-                    by, marked, every = areas_of(parts, rules, paired, least)
-                    area, k = max(sorted(by.items()), key=lambda kv: kv[1]) if by else (UNKNOWN, 0)
-                    if every >= 4 and marked < 0.35 * every:
-                        out += [(p, UNKNOWN) for p in parts]
-                    elif marked >= 2 and k >= CLEAR * marked:
-                        out += [(p, area) for p in parts]
-                yield pd.DataFrame(out, columns=["words", "area"])
-
-        labelled = scratch.keep(sample.mapInPandas(label, schema))
+                by, every = model.count(b.column("parts"), least)
+                marked = by.sum(axis=1)
+                unknown = (every >= 4) & (marked < 0.35 * every)
+                clear = (marked >= 2) & (by.max(axis=1) >= CLEAR * marked)
+                area = np.repeat(np.where(unknown, len(names) - 1, np.where(clear, by.argmax(axis=1), -1)), every)
+                words = b.column("parts").flatten().filter(pa.array(area >= 0))
+                yield pa.RecordBatch.from_arrays([words, names.take(pa.array(area[area >= 0]))], ["words", "area"])
+
+        labelled = scratch.keep(split.select("parts").mapInArrow(label, schema))
         more, seen = mine(labelled, max(LEAST, int(labelled.count() * LEAST_SHARE)))
         if not more:
             break
@@ -290,20 +346,26 @@ def learn(documents: DataFrame, examples: DataFrame, fit_docs: int = FIT_DOCS) -
 
 def document_areas(documents: DataFrame, examples: DataFrame) -> DataFrame:
     """(doc_id, subject, share): the areas of each document; share of its sentences with evidence."""
-    rules = learn(documents, examples)
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((rules, partners(rules)))
+    schema = "doc_id long, subject string, share double"
+    split = Scratch(spark, "sentences").keep(documents.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut, "doc_id long, parts array<array<string>>"))
+    rules = learn(split, examples)
+    if not rules:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(Model(rules))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules, paired = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        names = pa.array(model.areas, pa.string())
         for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                by, marked, every = areas_of(sentences(text), rules, paired)
-                out += [(doc, a, k / marked) for a, k in by.items() if k >= SHARE * marked and k >= LEAST_OF_ALL * every]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
-
-    return documents.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, subject string, share double")
+            by, every = model.count(b.column("parts"))
+            marked = by.sum(axis=1)
+            doc, area = np.nonzero((by > 0) & (by >= SHARE * marked[:, None]) & (by >= LEAST_OF_ALL * every[:, None]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(doc)), names.take(pa.array(area)), pa.array(by[doc, area] / marked[doc])], ["doc_id", "subject", "share"]
+            )
+
+    return split.mapInArrow(run, schema)
 
 
 def composition(documents: DataFrame, examples: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from gneiss.llm import encode, grammar, handmade, leaks, overlap, productions, splits, subjects, syntax
@@ -367,5 +368,40 @@ def test_an_area_of_exactly_a_quarter_counts(spark):
     assert {(r[0], r[1]) for r in got.where("doc_id >= 100").collect()} == {(100, a) for a in vocabulary} | {(101, "sun"), (101, "sea"), (102, "sun")}
 
 
+def test_rules_come_from_all_documents(spark):
+    # the word newcomer has just the support that a rule needs, and nothing else tells of the last document
+    line = lambda a, *more: " ".join(["we", "keep", f"{a}alpha", f"{a}bravo", *more]) + "."
+    ex = spark.createDataFrame([(i, " ".join([line(a)] * 3), a) for i in range(20) for a in ("sun", "sea")], "example_id long, text string, subject string")
+    texts = ["\n".join([line("sun", "newcomer")] + [line("sun")] * 5)] * subjects.LEAST + ["\n".join([line(a)] * 6) for a in ("sun", *["sea"] * 3) for _ in range(6)]
+    docs = [(50_000 + i, "s", t) for i, t in enumerate([*texts, "the newcomer stays.\nno newcomer left."])]
+    blank = spark.range(40_000).selectExpr("id AS doc_id", "'s' AS source", "IF(id % 2 = 0, ' ', NULL) AS text")
+    got = subjects.document_areas(spark.createDataFrame(docs, "doc_id long, source string, text string").union(blank), ex)
+    assert {(r[0], r[1], r[2]) for r in got.where(f"doc_id = {docs[-1][0]}").collect()} == {(docs[-1][0], "sun", 1.0)}
+
+
+def test_scores_of_a_batch_match_single_sentences():
+    rng = random.Random(5)
+    words = [f"w{x:02}" for x in range(30)]
+    rules = {(w,): (rng.choice("abc"), round(rng.uniform(0.4, 3), 4)) for w in words[:20]}
+    rules |= {tuple(sorted(rng.sample(words, 2))): (rng.choice("abc"), round(rng.uniform(0.4, 5), 1)) for _ in range(120)}
+    lines = [sorted(rng.sample([*words, "x", "y"], rng.randrange(1, 12))) for _ in range(2000)]
+
+    def plain(line):
+        evidence, used = dict.fromkeys("abc", 0.0), set()
+        for e, pair, area in sorted((-rules[p][1], p, rules[p][0]) for p in rules if len(p) == 2 and set(p) <= set(line)):
+            if used.isdisjoint(pair):
+                evidence[area] -= e
+                used.update(pair)
+        for w in line:
+            if w not in used and (w,) in rules:
+                evidence[rules[(w,)][0]] += rules[(w,)][1]
+        (e, area), (second, _) = sorted(((e, a) for a, e in evidence.items()), key=lambda x: (-x[0], x[1]))[:2]
+        return "abc".index(area) if e >= subjects.EVIDENCE and e - second > 0.4 else -1
+
+    model = subjects.Model(rules)
+    assert model.areas == list("abc")
+    assert model.score(*subjects._flat(pa.array(lines))).tolist() == [plain(line) for line in lines]
+
+
 def test_every_language_has_a_grammar():
     assert set(grammar.LANGUAGES.values()) == set(productions.RULES)
