@@ -58,13 +58,14 @@ def family_name(c: Column) -> Column:
     return present(F.concat_ws("/", F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2)))
 
 
-def keyed(samples: DataFrame) -> DataFrame:
-    """(sample_id, family, repo, dup, anchor): the keys that relate, and the node that stands for the sample."""
+def keyed(samples: DataFrame, *more: Column) -> DataFrame:
+    """(sample_id, family, repo, dup, more, anchor): the keys that relate, and the node that stands for the sample."""
     k = samples.where("sample_id IS NOT NULL").select(
         "sample_id",
         family_name(F.col("repo_family")).alias("family"),
         present(F.col("repo_id")).alias("repo"),
         present(F.col("duplicate_group")).alias("dup"),
+        *more,
     )
     return k.withColumn(
         "anchor",
@@ -81,10 +82,9 @@ def relations(keys: DataFrame) -> DataFrame:
     return direct.unionByName(through).distinct()
 
 
-def components(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys, (node, component)): nodes without any edge are not in the second."""
-    keys = keyed(samples)
-    return keys, connected_components(relations(keys))
+def written_keys(scratch: Scratch, samples: DataFrame, label: str = "code_language") -> DataFrame:
+    """keyed() with the label (null is one), written: the samples are read once, and what follows has a small plan."""
+    return scratch.keep(keyed(samples, F.coalesce(F.lower(F.trim(label)), F.lit("")).alias("label")))
 
 
 def family_pairs(samples: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def family_pairs(samples: DataFrame) -> DataFrame:
 
     As many rows as pairs; family_components() has one row a family.
     """
-    fam = family_components(samples).select("component", "split", "family")
+    fam = Scratch(samples.sparkSession, "pairs").keep(family_components(samples).select("component", "split", "family"))
     a = fam.withColumnRenamed("family", "family_a")
     b = fam.withColumnRenamed("family", "family_b")
     return a.join(b, ["component", "split"]).where("family_a < family_b").select("family_a", "family_b")
@@ -100,8 +100,10 @@ def family_pairs(samples: DataFrame) -> DataFrame:
 
 def family_components(samples: DataFrame) -> DataFrame:
     """(family, component, split, n_samples) of every family by the assignment: one row a family, as it is never divided."""
-    assigned = assign_splits(samples)
-    named = keyed(samples).where("family IS NOT NULL").select("sample_id", "family").distinct()
+    scratch = Scratch(samples.sparkSession, "splits")
+    keys = written_keys(scratch, samples)
+    assigned = _assign(scratch, keys)
+    named = keys.where("family IS NOT NULL").select("sample_id", "family").distinct()
     return named.join(assigned, "sample_id").groupBy("family", "component", "split").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
@@ -184,15 +186,18 @@ def assign_splits(
 
     label: column whose mix is balanced over the splits (null is a label).
     """
-    spark = samples.sparkSession
-    scratch = Scratch(spark, "splits")
+    scratch = Scratch(samples.sparkSession, "splits")
+    return _assign(scratch, written_keys(scratch, samples, label), proportions, seed)
+
+
+def _assign(scratch: Scratch, keys: DataFrame, proportions: dict[str, float] | None = None, seed: int = 17) -> DataFrame:
+    """assign_splits() from the written keys."""
+    spark = scratch.spark
     wanted = proportions or PROPORTIONS
     names, share = list(wanted), np.array(list(wanted.values()), float)
     share = share / share.sum()
-    keys, found = components(samples)
-    labels_of = samples.where("sample_id IS NOT NULL").select("sample_id", F.coalesce(F.lower(F.trim(label)), F.lit("")).alias("label"))
-    own = keys.select("sample_id", "anchor").groupBy("sample_id").agg(F.min("anchor").alias("anchor"))
-    own = own.join(labels_of.groupBy("sample_id").agg(F.min("label").alias("label")), "sample_id")
+    found = connected_components(relations(keys))  # nodes without any edge are not in it
+    own = keys.groupBy("sample_id").agg(F.min("anchor").alias("anchor"), F.min("label").alias("label"))
     members = scratch.keep(
         own.join(found, F.col("anchor") == F.col("node"), "left").select("sample_id", F.coalesce("component", "anchor").alias("component"), "label")
     )

@@ -33,20 +33,21 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFr
     count once; without edges the result is empty.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before, kept = None, None
-    while True:
+
+    def marked(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """Edges written, so that a round's plan begins at them; their number and the sum of their hashes."""
         seen = Observation()
         mark = F.xxhash64("u", "v").cast("decimal(38,0)")
-        nxt = scratch.keep(
-            _small_star(_large_star(kept if kept is not None else e)).observe(
-                seen, F.count(F.lit(1)).alias("n"), F.sum(mark).alias("mark")
-            )
-        )
-        if kept is not None:
-            scratch.free(kept)
-        kept, now = nxt, (seen.get["n"], seen.get["mark"])
+        out = scratch.keep(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(mark).alias("mark")))
+        return out, (seen.get["n"], seen.get["mark"])
+
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    kept, before = marked(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        large = scratch.keep(_large_star(kept))
+        nxt, now = marked(_small_star(large))
+        scratch.free(kept, large)
+        kept = nxt
         if now == before:
             break
         before = now

@@ -43,6 +43,21 @@ def test_sizes_come_before_labels_and_no_label_is_lost(spark):
     assert {r["split"]: r["n_samples"] for r in splits.split_sizes(got).collect()} == {"x": 75, "y": 45, "z": 30}
 
 
+def test_family_pairs_read_the_samples_once_and_plan_little(spark, tmp_path_factory):
+    at = f"{tmp_path_factory.mktemp('s')}/t"  # short, as plans cut long names
+    spark.createDataFrame([sample("1", "h/a/x", "a/x", "d1"), sample("2", "h/b/y", "b/y", "d1"), sample("3", "h/b/y", "c/z")], SAMPLE).write.parquet(at)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    known = store.executionsList()
+    last = max(known.apply(i).executionId() for i in range(known.size()))
+    assert {tuple(r) for r in splits.family_pairs(spark.read.parquet(at)).collect()} == {("a/x", "b/y"), ("a/x", "c/z"), ("b/y", "c/z")}
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [x.physicalPlanDescription() for x in map(ran.apply, range(ran.size())) if x.executionId() > last]
+    assert plans and sum(p.count(f"[file:{at}]") for p in plans) == 1
+    assert max(map(len, plans)) < 50_000
+
+
 CODE = "def f(a, b):\n    total = a.first(b) + other(a)\n    for x in total.items():\n        log.write(x, 'one', 17)\n    if total > b:\n        return finish(total, b)\n    return a.second(total)\n"
 
 
