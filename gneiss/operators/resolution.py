@@ -19,15 +19,31 @@ def name_candidates(call_sites: DataFrame, symbols: DataFrame, calls: DataFrame,
     call_sites: (site_id, file_path, callee); symbols: (symbol_key, name, path); calls: (file_path, target_key);
     imports: (file_path, imported).
     """
-    s = symbols.select("symbol_key", "name", "path")
-    hit = call_sites.join(s, F.col("callee") == F.col("name")).where("path <> file_path").select("site_id", "file_path", "symbol_key", "path")
-    known = calls.select(F.col("file_path"), F.col("target_key").alias("symbol_key")).distinct().withColumn("called", F.lit(0))
-    imported = imports.select("file_path", F.col("imported").alias("path")).distinct().withColumn("near", F.lit(1))
-    hit = hit.join(known, ["file_path", "symbol_key"], "left").join(imported, ["file_path", "path"], "left")
-    hit = hit.withColumn("evidence", F.coalesce("called", "near", F.lit(2)))
-    w = Window.partitionBy("site_id").orderBy("evidence", "symbol_key")
-    ranked = hit.select("site_id", F.col("symbol_key").alias("target_key"), (F.row_number().over(w) - 1).alias("ordinal"), (F.count(F.lit(1)).over(Window.partitionBy("site_id")) > limit).alias("truncated"))
-    return ranked.where(F.col("ordinal") < limit)
+    # sites of one file that call one name have one list, so pairs of sites and symbols are never formed
+    s = symbols.where("name IS NOT NULL AND path IS NOT NULL").select("symbol_key", "name", "path", F.row_number().over(Window.partitionBy("name", "path").orderBy("symbol_key")).alias("i"))
+    lists = call_sites.where("callee IS NOT NULL AND file_path IS NOT NULL").select("file_path", F.col("callee").alias("name")).distinct()
+    row = lambda df, n: df.select("file_path", "name", "path", "symbol_key", "i", F.lit(n).alias("evidence"))
+    called = calls.select("file_path", F.col("target_key").alias("symbol_key")).distinct().join(s, "symbol_key").where("path <> file_path").join(lists, ["file_path", "name"], "left_semi")
+    called = called.withColumn("o", F.row_number().over(Window.partitionBy("file_path", "name").orderBy("symbol_key"))).where(F.col("o") <= limit)
+    # fewer than limit of a file's symbols are called (else no others are wanted), so its first ones leave enough
+    first = s.where(F.col("i") <= limit)
+    near = lists.join(imports.select("file_path", F.col("imported").alias("path")).distinct(), "file_path").join(first, ["name", "path"]).where("path <> file_path")
+    # of the first 2 * limit of a name at most limit are of the file itself, and those called or imported take places of the list
+    head = first.withColumn("o", F.row_number().over(Window.partitionBy("name").orderBy("symbol_key", "path", "i"))).where(F.col("o") <= 2 * limit)
+    rest = lists.join(head, "name").where("path <> file_path")
+    pool = row(called, 0).unionAll(row(near, 1)).unionAll(row(rest, 2)).groupBy("file_path", "name", "path", "symbol_key", "i").agg(F.min("evidence").alias("evidence"))
+    pool = pool.withColumn("o", F.row_number().over(Window.partitionBy("file_path", "name").orderBy("evidence", "symbol_key"))).where(F.col("o") <= limit)
+    pool = pool.groupBy("file_path", "name").agg(F.array_sort(F.collect_list(F.struct("evidence", "symbol_key"))).alias("targets"))
+    own = s.groupBy("name", F.col("path").alias("file_path")).agg(F.count(F.lit(1)).alias("own"))
+    size = own.groupBy("name").agg(F.sum("own").alias("size"))
+    lists = pool.join(own, ["file_path", "name"], "left").join(size, "name").select("file_path", F.col("name").alias("callee"), "targets", (F.col("size") - F.coalesce("own", F.lit(0))).alias("n"))
+    # a site given in several rows has the candidates of all of them
+    rows = call_sites.select("site_id", "file_path", "callee", F.count(F.lit(1)).over(Window.partitionBy("site_id")).alias("rows")).join(lists, ["file_path", "callee"])
+    once = rows.where("rows = 1").select("site_id", F.posexplode("targets").alias("ordinal", "c"), (F.col("n") > limit).alias("truncated"))
+    several = rows.where("rows > 1").withColumn("n", F.sum("n").over(Window.partitionBy("site_id"))).select("site_id", F.explode("targets").alias("c"), (F.col("n") > limit).alias("truncated"))
+    w = Window.partitionBy("site_id").orderBy("c.evidence", "c.symbol_key")
+    several = several.withColumn("ordinal", F.row_number().over(w) - 1).where(F.col("ordinal") < limit).select("site_id", "ordinal", "c", "truncated")
+    return once.unionAll(several).select("site_id", F.col("c.symbol_key").alias("target_key"), "ordinal", "truncated")
 
 
 def rank_candidates(c: DataFrame) -> DataFrame:

@@ -197,3 +197,46 @@ def test_stream_batches_are_published_once(spark, tmp_path):
     run(spark.range(3), 0)
     run(spark.range(3, 5), 1)
     assert t.read().count() == 5
+
+
+def test_name_candidates_without_pairs_of_sites_and_symbols(spark):
+    """Equal to all pairs on files that hold many symbols of a name, call and import some; shared lists leave few rows."""
+    import random
+
+    r, limit = random.Random(3), 4
+    symbols = [(f"k{i:03}", f"n{r.randrange(4)}", f"f{min(r.randrange(8), r.randrange(8))}") for i in range(150)] + [("k001", "n1", "f7"), ("k001", "n1", "f7"), ("z", None, "f1"), ("y", "n1", None)]
+    sites = [(i, f"f{r.randrange(9)}", f"n{r.randrange(5)}") for i in range(120)] + [(5, "f1", "n1"), (6, "f2", "n2"), (6, "f2", "n2"), (200, None, "n1"), (201, "f1", None)]
+    calls = [(f"f{r.randrange(9)}", r.choice(symbols)[0]) for _ in range(60)] + [("f3", s[0]) for s in symbols[:40]]
+    imports = [(f"f{r.randrange(9)}", f"f{r.randrange(8)}") for _ in range(12)]
+    per: dict[int, list] = {}
+    for site, file, callee in sites:
+        for key, name, path in symbols:
+            if callee is not None and callee == name and None not in (file, path) and path != file:
+                per.setdefault(site, []).append((0 if (file, key) in calls else 1 if (file, path) in imports else 2, key))
+    want = sorted((site, key, o, len(c) > limit) for site, c in per.items() for o, (_, key) in enumerate(sorted(c)[:limit]))
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    out = lambda s: resolution.name_candidates(
+        frame(s, "site_id int, file_path string, callee string"), frame(symbols, "symbol_key string, name string, path string"),
+        frame(calls, "file_path string, target_key string"), frame(imports, "file_path string, imported string"), limit,
+    )
+    assert sorted(map(tuple, out(sites).collect())) == want
+    # 3,000 sites of one name: no join puts out a row for each pair of a site and a symbol
+    many = out([(i, "f0", "n0") for i in range(3000)])
+    many.collect()
+    assert max(joined(many)) <= 2 * 3000 < 3000 * sum(n == "n0" and p != "f0" for _, n, p in symbols)
+
+
+def joined(df):
+    """Rows that each join of a DataFrame put out when it was collected."""
+    out, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if "Join" in kind and p.metrics().contains("numOutputRows"):
+            out.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
