@@ -240,3 +240,15 @@ def joined(df):
             out.append(p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return out
+
+
+def test_validity_does_not_broadcast_lines(spark):
+    """Lines exploded from a small table are joined by sorting, whatever size the planner assumes; results as before."""
+    files = spark.range(20).select(F.col("id").cast("int").alias("path"))
+    owners = files.select("path", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("line")).withColumn("owner", F.when(F.col("line") == 7, 9).otherwise(F.col("path") % 3))
+    ranges = spark.createDataFrame([(1, 4, 0, 3, 1), (2, 4, 5, 8, 1), (3, 5, 0, 3, 1), (4, 99, 0, 3, 1), (5, 7, 0, 2, 1), (5, 7, 6, 7, 1), (6, 4, 0, 3, 1), (8, 4, 7, 7, 9)], "decision_id int, path int, start_line int, end_line int, commit int")
+    decisions = spark.createDataFrame([(i, "garbage" if i == 6 else "pending") for i in range(1, 9)], "decision_id int, status string")
+    out = maintenance.validity(decisions, ranges, owners)
+    assert {r.decision_id: r.status for r in out.collect()} == {1: "active", 2: "garbage", 3: "garbage", 4: "pending", 5: "garbage", 6: "garbage", 7: "pending", 8: "active"}
+    lines = maintenance.validity(decisions, ranges, owners)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode" in lines and "SortMergeJoin [path" in lines
