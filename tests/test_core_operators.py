@@ -252,3 +252,46 @@ def test_validity_does_not_broadcast_lines(spark):
     assert {r.decision_id: r.status for r in out.collect()} == {1: "active", 2: "garbage", 3: "garbage", 4: "pending", 5: "garbage", 6: "garbage", 7: "pending", 8: "active"}
     lines = maintenance.validity(decisions, ranges, owners)._jdf.queryExecution().sparkPlan().toString()
     assert "Generate explode" in lines and "SortMergeJoin [path" in lines
+
+
+def test_closure_keeps_no_pairs(spark, monkeypatch):
+    """Three full layers of 40 with a cycle and a null end; only edges and keys are written, blocks are divided."""
+    import glob
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gneiss import storage
+    from gneiss.operators import reach
+
+    layer = lambda k: [f"{k}{i:02}" for i in range(40)]
+    rows = [*((a, b, "calls") for k, m in ("ab", "bc") for a in layer(k) for b in layer(m)), ("c00", "d", "calls"), ("d", "c00", "calls"), ("a00", None, "calls")]
+    li = spark.createDataFrame(rows, "src string, dst string, link_type string")
+    every = spark.createDataFrame([(x,) for x in [*layer("a"), *layer("b"), *layer("c"), "d"]], "node_key string")
+    at = storage.shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{at}/gneiss-closure-*"))
+    out = impact.closure(li, every)
+    got = {(r["start"], r["node"]): r["hops"] for r in out.collect()}
+    want: dict = {}
+    to: dict = {}
+    for a, b, _ in rows:
+        to.setdefault(a, set()).add(b)
+    for (s,) in every.collect():
+        front, h = {s}, 0
+        while front:
+            want |= {(s, x): h for x in front}
+            front, h = {y for x in front for y in to.get(x, ())} - {x for t, x in want if t == s}, h + 1
+    assert got == want and out.count() == len(want)
+    kept = [sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{d}/*/*.parquet")) for d in set(glob.glob(f"{at}/gneiss-closure-*")) - before]
+    assert len(kept) == 1 and kept[0] < len(rows) + 3 * 122 < len(want)
+
+    # a chain of numbers with a loop; with two pairs at most, the block is divided down to single starts
+    class Chain:
+        def over(self, wanted):
+            yield slice(0, len(wanted)), pa.table({"s": [1, 2, 3, 3], "d": [2, 3, 3, 1]})
+
+    monkeypatch.setattr(reach, "PAIRS", 2)
+    parts = [(a + (p >> reach.BITS), p & reach.NODE, h) for a, p, h in reach.walk(np.array([1, 2, 3, 4]), Chain())]
+    found = sorted(tuple(map(int, x)) for part in parts for x in zip(*part))
+    assert found == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (1, 1, 2), (1, 2, 0), (1, 3, 1), (2, 1, 1), (2, 2, 2), (2, 3, 0), (3, 4, 0)]
